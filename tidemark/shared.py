@@ -49,13 +49,14 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write the table (replacing what an aborted attempt left) and return a scan of it: the lineage ends here."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.at(name))
-        return self.read(name)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
+        return self.read(name, df.schema)
+
+    def write_parts(self, df: DataFrame, name: str, *partition_by: str) -> None:
+        """Write the table in a folder for each value; of an empty table nothing is left that could be read."""
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(self.at(name))
 
     def read(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
