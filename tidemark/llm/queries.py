@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunking, packing
+from . import bpe, chunking, forest, packing
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": lambda spark, d: forest.found(spark.read.parquet(f"{d}/append_calls.parquet")),
         "p6_ids": lambda spark, d: bpe.encode(_documents(spark, d)),
         "p7_containers": lambda spark, d: packing.pack(_documents(spark, d)),
         "p8_pieces": lambda spark, d: chunking.split_oversized(_documents(spark, d)),
