@@ -10,12 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Steps from any notation to one, each on the result of the one before: parts of ISO 8601's basic form get their
-#: marks, a date alone gets its midnight, a time without an offset gets UTC, an offset of hours gets its minutes.
+#: marks, a date alone gets its midnight, a time its seconds, one without an offset gets UTC, an offset of hours gets its minutes.
 _STEPS = [
     (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
     (r"(?<=[T ])(\d{2})(\d{2})(\d{2})(?=$|[.Z+-])", "$1:$2:$3"),
     (r"(?<=[T ])(\d{2})(\d{2})(?=$|[Z+-])", "$1:$2"),
-    (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00"),
+    (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"),
+    (r"(?<=[T ]\d{2}:\d{2})(?=$|[Z+-])", ":00"),
     (r"^(\d{4}-\d{2}-\d{2}[T ][0-9:.]+)$", "$1Z"),
     (r"(?<=[T ][0-9:.]{1,32})([+-]\d{2})$", "$1:00"),
 ]

@@ -109,7 +109,9 @@ class _Store:
         """
         tier = F.floor(F.log(float(TIER), F.greatest(F.col("n_bytes"), F.lit(1)))).cast("int")
         tiered = runs.withColumn("_tier", tier)
-        many = tiered.groupBy(*ITEM, "_tier").agg(F.count("*").alias("_n")).groupBy(*ITEM).agg(F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_tier", "_n"))).alias("_by_tier")).where(F.col("_all") > self.fan_in)
+        many = tiered.groupBy(*ITEM, "_tier").agg(F.count("*").alias("_n")).groupBy(*ITEM).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.map_from_entries(F.collect_list(F.struct("_tier", "_n"))).alias("_by_tier"))
+        # where every run has a tier of its own, there are no more runs than tiers, and all are merged
+        many = many.where((F.col("_all") > self.fan_in) & (F.col("_most") > 1)).drop("_most")
         parts = F.ceil(F.element_at("_by_tier", F.col("_tier")) / self.fan_in)
         number = F.col("_tier").cast("bigint") * (1 << 40) + F.pmod(F.xxhash64(*RUN), parts)
         joined = same(tiered, many, ITEM, "left")
