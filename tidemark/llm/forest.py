@@ -42,6 +42,8 @@ RECALL = 1 - 1e-7
 SHARE = (4, 5)
 #: Classes in one range of which all pairs may be verified.
 SMALL = 64
+#: Runs of like size that are merged into one.
+MERGE = 4
 FIELDS = ["open", "high", "low", "close", "volume"]
 
 _LINE_END, _MARK = re.compile(r"\r\n|\n|\r"), re.compile(r"[,;|\t]")
@@ -122,7 +124,7 @@ _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, (2,
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each class: a row for each tree, with its key in two integers of two minimum hashes each."""
     for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
+        ids, lists, lasts = batch.columns
         counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         starts = np.cumsum(counts) - counts
@@ -136,12 +138,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = (least[:, 0::2] << np.uint64(32) | least[:, 1::2]).view(np.int64).reshape(len(counts), TREES, DEPTH // 2)
         row = np.repeat(np.arange(len(counts)), TREES)
         columns = [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(counts))), pa.array(pairs[:, :, 0].ravel()), pa.array(pairs[:, :, 1].ravel())]
-        yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(row)), pa.array(counts[row].astype(np.int32))], ["tree", "key_a", "key_b", "id", "n"])
+        yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(row)), pa.array(counts[row].astype(np.int32)), lasts.take(pa.array(row))], ["tree", "key_a", "key_b", "id", "n", "last_id"])
 
 
 def entries(classes: DataFrame) -> DataFrame:
-    """``tree, key_a, key_b, id, n`` for each tree of each class that has records."""
-    return classes.select("id", "records").mapInArrow(_keys, "tree int, key_a bigint, key_b bigint, id bigint, n int")
+    """``tree, key_a, key_b, id, n, last_id`` for each tree of each class that has records."""
+    return classes.select("id", "records", "last_id").mapInArrow(_keys, "tree int, key_a bigint, key_b bigint, id bigint, n int, last_id bigint")
 
 
 def _range(depth: int) -> Column:
@@ -204,57 +206,50 @@ class Forest:
         # copies of a set shrink to one row before they are shuffled
         kept = sets.groupBy("_x", "_y").agg(F.min("append_id").alias("id"), F.max("append_id").alias("last_id"), F.first("records").alias("records"))
         classes = self.at.write(kept, f"{work}/classes")
-        rows = entries(classes).join(classes.select("id", "last_id"), "id").withColumn("_range", _range(self.depth))
-        rows = self.at.write(rows, f"{work}/entries")
+        rows = self.at.write(entries(classes).withColumn("_range", _range(self.depth)), f"{work}/entries")
         nothing = classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("last_id").alias("b_last")).limit(0)
 
         # against what was accepted in earlier batches
-        found = []
+        near = nothing
         if self.runs:
             old = self._runs("entries").withColumn("_range", _range(self.depth))
-            found.append(self.at.write(self._verified(self._candidates(old, rows), self._runs("sets"), classes), f"{work}/old"))
-        rejected = self.at.write((found[0] if found else nothing).where("a < b").select(F.col("b").alias("id")).distinct(), f"{work}/rejected-0")
+            near = self.at.write(self._verified(self._candidates(old, rows), self._runs("sets"), classes), f"{work}/old")
+        rejected = near.where("a < b").select(F.col("b").alias("id")).distinct()
 
         # among themselves: first while some range holds many
         accepted, turn = classes.select("id").limit(0), 0
         while True:
-            open_ = rows.join(rejected, "id", "left_anti").join(accepted, "id", "left_anti")
-            firsts = self.at.write(open_.groupBy("_range").agg(F.min("id").alias("_first"), F.count("*").alias("_m")), f"{work}/firsts-{turn}")
-            if firsts.where(F.col("_m") > SMALL).isEmpty():
+            open_ = rows.join(rejected.unionByName(accepted), "id", "left_anti")
+            sizes = open_.groupBy("_range").agg(F.min("id").alias("_first"), F.count("*").alias("_m"))
+            if (sizes.agg(F.max("_m").alias("m")).first().m or 0) <= SMALL:
                 break
             turn += 1
+            firsts = self.at.write(sizes.select("_range", "_first"), f"{work}/firsts-{turn}")
             leads = open_.join(firsts, "_range").groupBy("id").agg(F.every(F.col("id") == F.col("_first")).alias("_leads")).where("_leads").select("id")
             leads = self.at.write(leads, f"{work}/leads-{turn}")
-            near = self._verified(self._candidates(rows.join(leads, "id", "left_semi"), rows), classes, classes)
-            found.append(self.at.write(near, f"{work}/near-{turn}"))
-            rejected = self.at.write(rejected.unionByName(found[-1].where("a < b").select(F.col("b").alias("id"))).distinct(), f"{work}/rejected-{turn}")
+            more = self.at.write(self._verified(self._candidates(rows.join(leads, "id", "left_semi"), rows), classes, classes), f"{work}/near-{turn}")
+            near = near.unionByName(more)
+            rejected = self.at.write(rejected.unionByName(more.where("a < b").select(F.col("b").alias("id"))).distinct(), f"{work}/rejected-{turn}")
             accepted = self.at.write(accepted.unionByName(leads), f"{work}/accepted-{turn}")
 
-        # then by all pairs of the small ranges that are left
-        open_ = rows.join(rejected, "id", "left_anti").join(accepted, "id", "left_anti")
-        pairs = self._candidates(open_, open_).where("a < b")
-        edges = self.at.write(self._verified(pairs, classes, classes).select("a", "b"), f"{work}/edges-0")
-        refused, round_ = nothing.select(F.col("b").alias("id")), 0
+        # then the classes that are left, with all that share one of their small ranges: also with what was rejected
+        # before, since that repeats whatever is accepted now
+        similar = self.at.write(self._verified(self._candidates(open_, rows), classes, classes), f"{work}/similar")
+        undecided = open_.select("id").distinct()
+        edges = similar.where("a < b").select("a", "b").join(undecided.withColumnRenamed("id", "b"), "b", "left_semi")
+        edges, refused, round_ = self.at.write(edges, f"{work}/edges-0"), nothing.select(F.col("b").alias("id")), 0
         while not edges.isEmpty():
+            # what has no earlier neighbour is accepted, its later ones are refused; the rest goes on without them
             round_ += 1
             roots = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-            roots = self.at.write(roots, f"{work}/roots-{round_}")
             lost = edges.join(roots.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-            lost = self.at.write(lost, f"{work}/lost-{round_}")
-            refused = refused.unionByName(lost)
-            gone = roots.unionByName(lost)
+            refused, gone = refused.unionByName(lost), roots.unionByName(lost)
             edges = self.at.write(edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), f"{work}/edges-{round_}")
-        late = open_.select("id").distinct().join(refused, "id", "left_anti")
-        late = self.at.write(late, f"{work}/late")
-        # what was accepted late is compared with everything in its ranges, also what was rejected before
-        found.append(self.at.write(self._verified(self._candidates(rows.join(late, "id", "left_semi"), rows), classes, classes), f"{work}/near-late"))
-
-        every = accepted.unionByName(late)
-        near = found[0]
-        for more in found[1:]:
-            near = near.unionByName(more)
+        every = self.at.write(accepted.unionByName(undecided.join(refused, "id", "left_anti")), f"{work}/accepted")
+
+        near = near.unionByName(similar.join(every.withColumnRenamed("id", "a"), "a", "left_semi"))
         # a class of copies repeats its own first member, if that was accepted
-        own = classes.join(every, "id", "left_semi").where("last_id > id").select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("last_id").alias("b_last"))
+        own = classes.where("last_id > id").join(every, "id", "left_semi").select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("last_id").alias("b_last"))
         members = sets.join(classes.select("_x", "_y", "id"), ["_x", "_y"]).select("append_id", F.col("id").alias("b"))
         pairs = near.unionByName(own).select("a", "b").distinct().join(members, "b").where("append_id > a")
         self.at.write(pairs.select(F.col("a").alias("append_a"), F.col("append_id").alias("append_b")), pairs_at)
@@ -264,22 +259,21 @@ class Forest:
         return self.at.read(pairs_at)
 
     def _write_run(self, name: str, sets: DataFrame, rows: DataFrame) -> dict:
-        self.at.write(sets.select("id", "records", F.col("id").alias("last_id")), f"{name}/sets")
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        # sorted by tree and key, so that a prefix is a range of few row groups
-        ordered = rows.select("tree", "key_a", "key_b", "id", "n").repartitionByRange(parts, "tree", "key_a", "key_b").sortWithinPartitions("tree", "key_a", "key_b")
-        written = self.at.write(ordered, f"{name}/entries")
+        self.at.write(sets.select("id", "records"), f"{name}/sets")
+        # sorted by tree and key within slices of the keys, so that a prefix is a range of few row groups of one file
+        slices = rows.select("tree", "key_a", "key_b", "id", "n").repartition("tree", F.shiftrightunsigned("key_a", 56))
+        written = self.at.write(slices.sortWithinPartitions("tree", "key_a", "key_b"), f"{name}/entries")
         return {"name": name, "rows": written.count()}
 
     def _keep(self, sets: DataFrame, rows: DataFrame, label: str) -> None:
-        """The accepted as a new run, merged with those before it that aren't much larger; published in one step."""
-        run = self._write_run(f"runs/{label}", sets, rows)
-        runs, old = [*self.runs, run], []
-        while len(runs) > 1 and runs[-2]["rows"] <= 4 * runs[-1]["rows"]:
-            two = runs[-2:]
-            read = lambda part, two=two: self.spark.read.parquet(*(self.at.at(f"{r['name']}/{part}") for r in two))
-            runs[-2:] = [self._write_run(f"{two[1]['name']}+", read("sets"), read("entries"))]
-            old += two
+        """The accepted as a new run.  Of the newest runs, ``MERGE`` of like size are merged into one.  The new list
+        of runs is published in one step; what it no longer names is deleted after that."""
+        runs, old = [*self.runs, self._write_run(f"runs/{label}", sets, rows)], []
+        while len(runs) >= MERGE and runs[-MERGE]["rows"] <= MERGE * runs[-1]["rows"]:
+            like = runs[-MERGE:]
+            read = lambda part: self.spark.read.parquet(*(self.at.at(f"{r['name']}/{part}") for r in like))  # noqa: B023, E731
+            runs[-MERGE:] = [self._write_run(f"{like[-1]['name']}+", read("sets"), read("entries"))]
+            old += like
         self.runs, self.done = runs, [*self.done, label]
         self.at.commit_json("forest.json", {"runs": self.runs, "batches": self.done})
         for r in old:
