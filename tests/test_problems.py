@@ -37,7 +37,7 @@ def test_numbers(spark):
 
 
 def test_json_lines(spark):
-    good = ['{"a": 1}', ' {"a": "1", "b": null} ', "{}", '{"a": {"x": [1, "],["]}}', '{"z": 5}']
+    good = ['{"a": 1}', ' {"a": "1", "b": null} ', "{}", '{"a": {"x": [1, "],["]}}', '{"z": 5}', '\t{"a": 1}\r']
     bad = ['{"a": 1', '{"a": 1} x', '{"a":1}{"a":2}', '{"a":1},{"a":2}', '{"a":1}],[{"a":2}', '{"a":1}}', "[1]", "5", "null", "", "   ", "{'a': 1}", '{"a": NaN}', '{"a": 01}', '[{"a":1}]', None]
     df = spark.createDataFrame([(t,) for t in good + bad], "t string")
     got = [bool(r.n) for r in df.selectExpr("t").select(json_objects(df.t, ["a", "b"]).alias("n")).collect()]

@@ -60,7 +60,7 @@ def json_objects(line: Column, fields: list[str]) -> Column:
     """
     struct = ", ".join(f"`{x}` string" for x in fields)
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
-    trimmed = F.trim(line)
+    trimmed = F.trim(line, F.lit(" \t\r\n"))
     parsed = F.from_json(F.concat(F.lit("["), trimmed, F.lit(',{"~end":"1"}]')), f"array<struct<{struct}, `~end` string>>", options)
     whole = F.filter(F.array(parsed), lambda p: F.coalesce((F.size(p) == 2) & (p[1]["~end"] == "1"), F.lit(False)))
     return F.when(trimmed.startswith("{"), F.transform(whole, lambda p: p[0])).otherwise(F.array())

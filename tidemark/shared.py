@@ -76,21 +76,33 @@ class Scratch:
         fs, path = self._fs(name)
         fs.delete(path, True)
 
+    def _states(self, name: str) -> list[str]:
+        fs, folder = self._fs(name)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(x for x in names if x.endswith(".json"))
+
     def commit_json(self, name: str, value: dict) -> None:
-        """Publish a small file in one step: it is written aside, then renamed."""
-        fs, path = self._fs(name)
-        _, aside = self._fs(f"{name}.{uuid.uuid4().hex}.tmp")
+        """Publish a small state in one step: a numbered file, written aside, appears under a name that's new.
+
+        The one with the greatest number holds, so there's no moment without
+        a state.
+        """
+        before = self._states(name)
+        number = int(before[-1][:-5]) + 1 if before else 1
+        fs, aside = self._fs(f"{name}/{uuid.uuid4().hex}.tmp")
         out = fs.create(aside, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(aside, path)
+        if not fs.rename(aside, self._fs(f"{name}/{number:012d}.json")[1]):
+            raise OSError(f"{name} was published by another process")
+        for old in before:
+            fs.delete(self._fs(f"{name}/{old}")[1], False)
 
     def load_json(self, name: str) -> dict | None:
-        fs, path = self._fs(name)
-        if not fs.exists(path):
+        states = self._states(name)
+        if not states:
             return None
+        fs, path = self._fs(f"{name}/{states[-1]}")
         stream = fs.open(path)
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
