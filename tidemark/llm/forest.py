@@ -165,7 +165,7 @@ class Forest:
     def __post_init__(self):
         self.at = Scratch(self.spark, "forest", self.path)
         self.depth = depth_for(self.share, self.recall)
-        state = self.at.load_json("forest.json") or {"runs": [], "batches": []}
+        state = self.at.load_json("state") or {"runs": [], "batches": []}
         self.runs, self.done = state["runs"], state["batches"]
 
     def _runs(self, part: str) -> DataFrame | None:
@@ -275,7 +275,7 @@ class Forest:
             runs[-MERGE:] = [self._write_run(f"{like[-1]['name']}+", read("sets"), read("entries"))]
             old += like
         self.runs, self.done = runs, [*self.done, label]
-        self.at.commit_json("forest.json", {"runs": self.runs, "batches": self.done})
+        self.at.commit_json("state", {"runs": self.runs, "batches": self.done})
         for r in old:
             self.at.drop(r["name"])
 
