@@ -78,11 +78,15 @@ class Compaction:
     levels: int
 
 
+def _tier() -> Column:
+    return F.floor(F.log(float(TIER), F.greatest(F.col("n_bytes"), F.lit(1)))).cast("int")
+
+
 class _Store:
     def __init__(self, spark: SparkSession, path: str | None, fan_in: int):
         self.spark, self.fan_in = spark, fan_in
         self.at = Scratch(spark, "compaction", path)
-        self.level = (self.at.load_json("committed.json") or {"level": 0})["level"]
+        self.level = (self.at.load_json("committed") or {"level": 0})["level"]
 
     def journal(self) -> DataFrame | None:
         return self._levels("journal") if self.level else None
@@ -100,22 +104,26 @@ class _Store:
     def runs(self) -> DataFrame | None:
         return self.at.read(f"runs/{self.level}") if self.level else None
 
-    def groups(self, runs: DataFrame) -> DataFrame:
+    def counts(self, runs: DataFrame, level: int) -> DataFrame:
+        """How many runs each item has in each tier, for the items with more than ``fan_in`` runs.
+
+        Written, so that its size is known where it's joined: the files are
+        shuffled for that only if it's too large to be sent to all tasks.
+        """
+        many = runs.groupBy(*ITEM, _tier().alias("_tier")).agg(F.count("*").alias("_n")).groupBy(*ITEM)
+        many = many.agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.map_from_entries(F.collect_list(F.struct("_tier", "_n"))).alias("_by_tier"))
+        # where every run has a tier of its own, there are no more runs than tiers, and all are merged
+        return self.at.write(many.where((F.col("_all") > self.fan_in) & (F.col("_most") > 1)).select(*ITEM, "_by_tier"), f"counts/{level}")
+
+    def groups(self, runs: DataFrame, counts: DataFrame) -> DataFrame:
         """``runs`` with the number of the group (``_group``) that each is merged in.
 
         Group sizes come from counts; which group a run goes to is a hash of
-        the run, so that runs need no order and no item is gathered.  Only
-        what has more than ``fan_in`` runs needs a row in the table of counts.
+        the run, so that runs need no order and no item is gathered.
         """
-        tier = F.floor(F.log(float(TIER), F.greatest(F.col("n_bytes"), F.lit(1)))).cast("int")
-        tiered = runs.withColumn("_tier", tier)
-        many = tiered.groupBy(*ITEM, "_tier").agg(F.count("*").alias("_n")).groupBy(*ITEM).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.map_from_entries(F.collect_list(F.struct("_tier", "_n"))).alias("_by_tier"))
-        # where every run has a tier of its own, there are no more runs than tiers, and all are merged
-        many = many.where((F.col("_all") > self.fan_in) & (F.col("_most") > 1)).drop("_most")
-        parts = F.ceil(F.element_at("_by_tier", F.col("_tier")) / self.fan_in)
-        number = F.col("_tier").cast("bigint") * (1 << 40) + F.pmod(F.xxhash64(*RUN), parts)
-        joined = same(tiered, many, ITEM, "left")
-        return joined.withColumn("_group", F.coalesce(number, F.lit(-1).cast("bigint"))).drop("_all", "_by_tier", "_tier")
+        parts = F.ceil(F.element_at("_by_tier", _tier()) / self.fan_in)
+        number = _tier().cast("bigint") * (1 << 40) + F.pmod(F.xxhash64(*RUN), parts)
+        return same(runs, counts, ITEM, "left").withColumn("_group", F.coalesce(number, F.lit(-1).cast("bigint"))).drop("_by_tier")
 
     def commit(self, level: int, plan: DataFrame, read: DataFrame, carried: DataFrame | None, label: str) -> None:
         """Merge ``read`` (records with the run's group) as one level: data, runs and journal first, then the commit."""
@@ -138,7 +146,7 @@ class _Store:
         ids = ids.select(*ITEM, "_group", name.alias("txn_id"))
         journal = same(inputs.unionByName(outputs), ids, [*ITEM, "_group"]).select(F.lit(level).alias("level"), "txn_id", "role", *ITEM, *RUN, "n_records", "n_bytes")
         self.at.write(journal, f"journal/{level}")
-        self.at.commit_json("committed.json", {"level": level, "kind": label})
+        self.at.commit_json("committed", {"level": level, "kind": label})
         self.level = level
 
     def ingest(self, files: DataFrame) -> bool:
@@ -149,19 +157,20 @@ class _Store:
             named = named.join(known, "file_id", "left_anti")
         raw = named.select(*ITEM, F.lit(0).alias("made_at"), F.col("file_id").alias("run_no"), F.lit(None).cast("bigint").alias("n_records"), F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("n_bytes"))
         level = self.level + 1
-        plan = self.at.write(self.groups(raw), f"plan/{level}")
+        counts = self.counts(raw, level)
+        plan = self.at.write(self.groups(raw, counts), f"plan/{level}")
         if plan.isEmpty():
             return False
         # the group is found for the payloads as for the plan, by the same small table of counts
         sized = named.select(*ITEM, F.lit(0).alias("made_at"), F.col("file_id").alias("run_no"), F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint").alias("n_bytes"), "file_id", "payload")
-        read = records(self.groups(sized), *ITEM, "_group")
+        read = records(self.groups(sized, counts), *ITEM, "_group")
         self.commit(level, plan, read, self.runs(), "ingest")
         return True
 
     def merge(self) -> bool:
         """A further level, unless every item is one run."""
         level, runs = self.level + 1, self.runs()
-        marked = self.at.write(self.groups(runs), f"plan/{level}")
+        marked = self.at.write(self.groups(runs, self.counts(runs, level)), f"plan/{level}")
         group = [*ITEM, "_group"]
         full = marked.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").select(*group)
         plan = self.at.write(same(marked, full, group, "left_semi"), f"merge/{level}")
