@@ -54,6 +54,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
         return self.read(name, df.schema)
 
+    def write_sorted(self, df: DataFrame, name: str, order: list[str], *partition_by: str, block_bytes: int = 1 << 20) -> None:
+        """Write the table in ranges of ``order``, sorted, in row groups of about so many bytes: a part of it can be
+        found by the files' and row groups' bounds.  The files' names sort as the ranges do."""
+        keys = [*partition_by, *order]
+        writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(block_bytes))
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.at(name))
+
     def write_parts(self, df: DataFrame, name: str, *partition_by: str) -> None:
         """Write the table in a folder for each value; of an empty table nothing is left that could be read."""
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(self.at(name))
@@ -62,6 +69,10 @@ class Scratch:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(self.at(name))
 
+    def read_all(self, names: list[str], schema) -> DataFrame:
+        """One scan of tables of one schema."""
+        return self.spark.read.schema(schema).parquet(*(self.at(n) for n in names))
+
     # -- small files of the driver, through Hadoop's file system so that any scheme works
     def _fs(self, name: str):
         jvm = self.spark._jvm
@@ -72,6 +83,17 @@ class Scratch:
         fs, path = self._fs(name)
         return fs.exists(path)
 
+    def files(self, name: str) -> list[str]:
+        """The Parquet files of a table in the order of their names; none if there's no such table."""
+        fs, folder = self._fs(name)
+        found = [str(s.getPath()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(x for x in found if x.endswith(".parquet"))
+
+    def folders(self, name: str) -> list[str]:
+        """The names of the folders of a table that was written in parts."""
+        fs, folder = self._fs(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory() and "=" in s.getPath().getName()) if fs.exists(folder) else []
+
     def drop(self, name: str = "") -> None:
         fs, path = self._fs(name)
         fs.delete(path, True)
