@@ -39,15 +39,20 @@ def payload(records) -> str:
 
 
 def test_depth():
-    assert forest.depth_for() == 2
+    """The longest prefix that reaches the recall; the keys' own length under the usual parameters."""
+    d = forest.depth_for()
+    assert d == forest.DEPTH and 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL
+    assert forest.depth_for(share=(7, 10)) == 2 and forest.depth_for(share=(6, 10)) == 1
     with pytest.raises(ValueError):
-        forest.depth_for(recall=1.0)
+        forest.depth_for(share=(1, 10))
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_against_brute_force(spark, monkeypatch, small):
-    """With small = 2 every range of three is a hot one, so that the rounds of leaders do the work."""
+@pytest.mark.parametrize("small, edges", [(64, 1 << 20), (2, 1 << 20), (64, 0)])
+def test_against_brute_force(spark, monkeypatch, small, edges):
+    """With small = 2 every range of three is a hot one, so that the rounds of leaders do the work; with no edges
+    allowed in one task, the rounds of decisions do."""
     monkeypatch.setattr(forest, "SMALL", small)
+    monkeypatch.setattr(forest, "EDGES", edges)
     rng = random.Random(11)
     bases = [rng.sample(range(100_000), 20) for _ in range(12)]
     sets, rows = {}, []
