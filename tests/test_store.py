@@ -71,7 +71,7 @@ def test_items_and_metadata(collection):
     for call in (lambda: collection.delete_item("a"), lambda: collection.item("a"), lambda: collection.append("a", daily(1))):
         with pytest.raises(ts.ItemNotFoundError):
             call()
-    assert collection.vacuum() == 2
+    assert collection.vacuum() == 0 and collection.vacuum(older_than_s=0) == 2
 
 
 @pytest.mark.parametrize("name", ["item_with_underscore", "item-with-dash", "item.with.dots", "UPPER", "123", "with space"])
@@ -274,7 +274,7 @@ def test_snapshots(collection):
     kept = collection.item("x", snapshot="before1")
     same_frame(kept.to_pandas(), daily(5))
     assert kept.metadata["m"] == 1
-    collection.vacuum()
+    collection.vacuum(older_than_s=0)
     same_frame(collection.item("x", snapshot="before1").to_pandas(), daily(5))
     with pytest.raises(ts.SnapshotNotFoundError):
         collection.item("x", snapshot="none")

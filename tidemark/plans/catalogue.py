@@ -6,33 +6,28 @@ and reads it back through the operator that it's named after.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..store import catalog, evolution, layout, memory
-from ..store.validation import DataValidator, NoNullRule, RangeRule, UniqueRule
+from ..functions.joins import same
+from ..functions.keys import align_timezones, deduplicate
+from ..shared import shared_dir
+from ..store import catalog, errors, evolution, layout, memory
+from ..store.types import SEQ
+from ..store.validation import DataValidator, NoNullRule, RangeRule, SortedKeyRule, UniqueRule, create_financial_validator
 from . import problems
 
 CLICKS = [("event_type", "==", "click"), ("value", ">", 100.0)]
 EITHER = [[("event_type", "in", ["click", "view"]), ("value", ">", 100.0)], [("event_type", "not in", ["click", "view", "purchase"]), ("value", "<=", 10.0)]]
 
 
-@lru_cache(1)
-def _root() -> str:
-    path = tempfile.mkdtemp(prefix="tidemark-stores-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
 def _collection(spark: SparkSession) -> catalog.Collection:
-    catalog.set_path(_root())
+    """A collection of a store of its own in the folder that all executors share."""
+    catalog.set_path(f"{shared_dir(spark)}/stores".replace("file:", "", 1) if shared_dir(spark).startswith("file:") else f"{shared_dir(spark)}/stores")
     return catalog.store(f"s{uuid.uuid4().hex}", spark).collection("data")
 
 
@@ -59,24 +54,37 @@ def _read(name: str, index: list[str], **kw) -> Callable:
 
 def _ends(first: bool) -> Callable:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        ordered = _held(spark, d, "events", ["ts"]).item("item").ordered()
-        return ordered.limit(10) if first else ordered.orderBy(F.col("ts").desc()).limit(10)
+        it = _held(spark, d, "events", ["ts"]).item("item")
+        rows = it.head(10) if first else it.tail(10)
+        return spark.createDataFrame(rows.reset_index()[it.data.columns], it.data.schema)
 
     return run
 
 
 def index_last(spark, d):
-    it = _held(spark, d, "events", ["ts"]).item("item", columns=["ts"])
-    return it.data.agg(F.max("ts").alias("last_ts"))
+    last = _held(spark, d, "events", ["ts"]).index("item", last=True)
+    return spark.createDataFrame([(last,)], "last_ts timestamp_ntz")
 
 
 def chunk_rows(spark, d):
-    it = _held(spark, d, "events", ["ts"]).item("item", columns=["ts"])
-    # positions by range, so that no task sorts all rows
-    ordered = it.data.withColumn("_d", F.date_trunc("day", "ts"))
-    counts = ordered.groupBy("_d").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ordered.join(counts, "_d").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("_d").orderBy("ts")) - 1)
-    return placed.groupBy(F.floor(F.col("_at") / 1000).alias("chunk")).agg(F.count("*").alias("n"))
+    c = _held(spark, d, "events", ["ts"])
+    sizes = [(k, len(x)) for k, x in enumerate(memory.read_in_chunks(c, "item", 1000, columns=["ts"]))]
+    return spark.createDataFrame(sizes, "chunk bigint, n bigint")
+
+
+def scan_filter_zoned(spark, d):
+    """Instants as keys: the manifest's bounds and the filter must mean the same in every time zone."""
+    t = _table(spark, d, "events").withColumn("at", F.timestamp_micros(_us("ts"))).select("at", "event_id")
+    c, middle = _collection(spark), pd.Timestamp("2024-01-02 02:00", tz="UTC")
+    for k, part in enumerate((t.where(F.col("at") < F.lit(middle)), t.where(F.col("at") >= F.lit(middle)))):
+        (c.append if k else c.write)("item", part, index=["at"])
+    return c.item("item", filters=[("at", ">=", middle)]).data.select("event_id")
+
+
+def _us(column: str) -> Column:
+    from ..functions.normal import ntz_us
+
+    return ntz_us(F.col(column))
 
 
 # -- appends: old and new rows overlap in a tenth of the keys
@@ -104,18 +112,34 @@ def append_multikey(spark, d):
     return c.item("item").data
 
 
+def append_widen(spark, d):
+    """Integers, then fractions: the column is double from then on, and no value is cut off."""
+    t, c = _table(spark, d, "events"), _collection(spark)
+    c.write("item", t.where("event_id % 2 = 0").select("event_id", F.col("user_id").alias("v")), index=["event_id"])
+    c.append("item", t.where("event_id % 2 = 1").select("event_id", F.col("value").alias("v")))
+    return c.item("item").data
+
+
+def append_type_error(spark, d):
+    """Texts can't become integers: the append is refused, and the item stays as it was."""
+    t, c, refused = _table(spark, d, "events"), _collection(spark), 0
+    c.write("item", t.select("event_id", F.col("user_id").alias("v")), index=["event_id"])
+    try:
+        c.append("item", t.select((F.col("event_id") + 1_000_000).alias("event_id"), F.col("event_type").alias("v")))
+    except errors.ValidationError:
+        refused = 1
+    return c.item("item").data.agg(F.count("*").alias("n"), F.lit(refused).alias("refused"))
+
+
 def dup_keys(spark, d):
     old, new = _old_new(spark, d, "events", "event_id", F.col("value") * 10, "value")
-    return old.select("ts").join(new.select("ts"), "ts", "left_semi").agg(F.count("*").alias("n"))
+    return same(old.select("ts"), new.select("ts"), ["ts"], "left_semi").agg(F.count("*").alias("n"))
 
 
-def _dedup(last: bool) -> Callable:
+def _dedup(keep: str) -> Callable:
     def run(spark, d):
         t = _held(spark, d, "events", ["user_id", "ts"]).item("item").data
-        row = F.struct("ts", "event_id", "event_type", "value", "props")
-        # one row for each key before the shuffle, unlike a window
-        picked = t.groupBy("user_id").agg((F.max_by if last else F.min_by)(row, F.struct("ts", "event_id")).alias("r"))
-        return picked.select("user_id", "r.*")
+        return deduplicate(t, ["user_id"], ["ts", "event_id"], keep)
 
     return run
 
@@ -193,17 +217,59 @@ def span_days(spark, d):
 
 # -- types
 def tz_to_utc(spark, d):
-    t = _held(spark, d, "events", ["ts"]).item("item", columns=["event_id"]).data
-    return t.select("event_id", F.convert_timezone(F.lit("US/Eastern"), F.lit("UTC"), F.col("ts")).alias("utc"))
+    """Zone-less local times beside zoned ones: both in one zone, then kept as instants, which come out in UTC."""
+    t = _table(spark, d, "events").select("event_id", F.col("ts").alias("utc"))
+    zoned = spark.createDataFrame([], "event_id bigint, utc timestamp")
+    local, _ = align_timezones(t, zoned, "US/Eastern")
+    c = _collection(spark)
+    c.write("item", local, index=["event_id"])
+    us = F.unix_micros("utc").cast("decimal(20,0)")
+    return c.item("item").data.select("event_id", (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(us / 1_000_000).cast("decimal(18,6)"))).alias("utc"))
+
+
+def _typed(spark, d) -> catalog.Item:
+    """The events as a pandas frame with types that Spark lacks, written, appended to, and read with their tags."""
+    t = _table(spark, d, "events").select("event_id", "ts", "event_type", "value", "props").toPandas().set_index("event_id")
+    frame = pd.DataFrame({
+        "month": t["ts"].dt.to_period("M"),
+        "lasted": pd.to_timedelta(t["value"].round(2) * 1000, unit="ms").dt.round("ms"),
+        "kind": pd.Categorical(t["event_type"]),
+        "bin": pd.arrays.IntervalArray.from_arrays((t["value"] // 10 * 10).astype("int64"), (t["value"] // 10 * 10 + 10).astype("int64"), closed="left"),
+        "local": t["ts"].dt.tz_localize("UTC").dt.tz_convert("US/Eastern"),
+        "tags": [{"props": x} for x in t["props"]],
+    }, index=t.index)
+    c, half = _collection(spark), len(frame) // 2
+    c.write("item", frame[:half].assign(kind=frame[:half]["kind"].cat.remove_unused_categories()))
+    c.append("item", frame[half:])
+    return c.item("item")
+
+
+def typed_columns(spark, d):
+    """Periods, durations, intervals, zoned instants and nested objects, as they come out again."""
+    got = _typed(spark, d).to_pandas()
+    kinds = [isinstance(got["month"].dtype, pd.PeriodDtype), got["lasted"].dtype.kind == "m", isinstance(got["kind"].dtype, pd.CategoricalDtype), isinstance(got["bin"].dtype, pd.IntervalDtype), str(got["local"].dt.tz) == "US/Eastern"]
+    flat = pd.DataFrame({
+        "event_id": got.index, "month": got["month"].astype(str), "ms": (got["lasted"] / pd.Timedelta("1ms")).round().astype("int64"), "kind": got["kind"].astype(str),
+        "lo": [x.left for x in got["bin"]], "hi": [x.right for x in got["bin"]], "hour": got["local"].dt.hour.astype("int64"), "props": [x["props"] for x in got["tags"]], "restored": sum(map(bool, kinds)),
+    })
+    return spark.createDataFrame(flat, "event_id bigint, month string, ms bigint, kind string, lo bigint, hi bigint, hour bigint, props string, restored bigint")
+
+
+def append_category(spark, d):
+    """Categories that only come with the second append are united with the first ones'."""
+    counts = _typed(spark, d).to_pandas()["kind"].value_counts()
+    return spark.createDataFrame([(str(k), int(n), len(counts.index.categories)) for k, n in counts.items()], "kind string, n bigint, categories bigint")
 
 
 def epoch_roundtrip(spark, d):
-    from ..functions.normal import ntz_us
-
-    t = _table(spark, d, "events").select("event_id", ntz_us(F.col("ts")).alias("us"))
+    """Keys kept as epoch nanoseconds, which come out as instants, or as numbers if asked for."""
+    t = _table(spark, d, "events").select("event_id", "ts").toPandas().set_index("ts")
     c = _collection(spark)
-    c.write("item", t, index=["us"])
-    return c.item("item").data.select("event_id", "us", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
+    c.write("item", t, epochdate=True)
+    it = c.item("item")
+    numbers, instants = it.to_pandas(parse_dates=False), it.to_pandas()
+    rows = pd.DataFrame({"event_id": numbers["event_id"].to_numpy(), "us": numbers.index.to_numpy() // 1000, "ts": instants.index.to_numpy()})
+    return spark.createDataFrame(rows, "event_id bigint, us bigint, ts timestamp_ntz")
 
 
 def json_extract(spark, d):
@@ -212,11 +278,9 @@ def json_extract(spark, d):
 
 
 def interval_struct(spark, d):
-    low = F.floor(F.col("value") / 10) * 10
-    t = _table(spark, d, "events").select("event_id", F.struct(low.alias("left"), (low + 10).alias("right")).alias("bin"))
-    c = _collection(spark)
-    c.write("item", t, index=["event_id"])
-    return c.item("item").data.select("event_id", F.col("bin.left").alias("lo"), F.col("bin.right").alias("hi"))
+    it = _typed(spark, d)
+    # intervals are structs in Spark, so that their sides can be used there
+    return it.data.select("event_id", F.col("bin.left").alias("lo"), F.col("bin.right").alias("hi"))
 
 
 def nested_roundtrip(spark, d):
@@ -225,8 +289,7 @@ def nested_roundtrip(spark, d):
 
 
 def category_counts(spark, d):
-    t = _held(spark, d, "events", ["ts"]).item("item", columns=["event_type"]).data
-    return t.groupBy("event_type").agg(F.count("*").alias("n"))
+    return _typed(spark, d).data.groupBy(F.col("kind").alias("event_type")).agg(F.count("*").alias("n"))
 
 
 # -- validation: all rules' counts in one pass
@@ -237,6 +300,19 @@ def val_counts(spark, d):
     return t.agg(*(c.alias(n) for c, n in zip(counts, ("below", "above", "null_value", "null_user"))))
 
 
+def val_range(spark, d):
+    t = _held(spark, d, "events", ["ts"]).item("item").data
+    counts = RangeRule("value", 10, 500).counts(t)
+    passed = DataValidator([RangeRule("value", 10, 500)]).validate(t, raise_on_error=False)
+    return t.agg(*(c.alias(n) for c, n in zip(counts.values(), ("below", "above")))).withColumn("passed", F.lit(passed))
+
+
+def val_nulls(spark, d):
+    t = _held(spark, d, "events", ["ts"]).item("item").data.withColumn("value", F.when(F.col("event_id") % 7 > 0, F.col("value")))
+    passed = [DataValidator([NoNullRule([c])]).validate(t, raise_on_error=False) for c in ("value", "user_id")]
+    return t.agg(*(c.alias("nulls") for c in NoNullRule(["value"]).counts(t).values())).select("nulls", F.lit(passed[0]).alias("value_full"), F.lit(passed[1]).alias("user_full"))
+
+
 def val_unique(spark, d):
     t = _held(spark, d, "events", ["ts"]).item("item").data
     passed = [DataValidator([UniqueRule([c])]).validate(t, raise_on_error=False) for c in ("event_id", "user_id")]
@@ -244,17 +320,18 @@ def val_unique(spark, d):
 
 
 def val_sorted(spark, d):
-    t = _table(spark, d, "events").select(F.col("event_id").alias("s"), F.col("value").alias("k")).withColumn("r", F.shiftright("s", 12))
-    inner = t.withColumn("p", F.lag("k").over(Window.partitionBy("r").orderBy("s"))).where("k < p").select("p")
-    ends = t.groupBy("r").agg(F.min_by("k", "s").alias("a"), F.max_by("k", "s").alias("b")).withColumn("p", F.lag("b").over(Window.orderBy("r"))).where("a < p").select("p")
-    return inner.unionByName(ends).agg(F.count("*").alias("falls"))
+    return SortedKeyRule().falls(_table(spark, d, "events").select(F.col("event_id").alias(SEQ), "value"), "value")
 
 
 def val_ohlc(spark, d):
+    """Bars by hour; those of every fifth hour have got a high below their low, which the validator must count."""
     t = _held(spark, d, "events", ["ts"]).item("item", columns=["ts", "value"]).data
     bars = t.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"))
-    fine = (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close"))
-    return bars.agg(F.count("*").alias("bars"), F.count_if(~fine).alias("bad"), F.count_if(F.col("close") < F.col("open")).alias("falling"))
+    planted = bars.withColumn("high", F.when(F.hour("hour") % 5 == 0, F.col("low") - 1).otherwise(F.col("high")))
+    validator = create_financial_validator(volume_column=None)
+    fine = validator.rules[-1].validate_func(planted)
+    passed = [validator.validate(x, raise_on_error=False) for x in (bars, planted)]
+    return planted.agg(F.count("*").alias("bars"), F.count_if(~fine).alias("bad")).select("bars", "bad", *(F.lit(p).alias(n) for p, n in zip(passed, ("whole_passed", "planted_passed"))))
 
 
 # -- schema evolution
@@ -271,6 +348,13 @@ def evolve_add(spark, d):
     return c.item("item").data
 
 
+def evolve_add_overlap(spark, d):
+    """A column comes with rows of which some replace old ones: old rows have its default, wherever they're kept."""
+    c = _evolved(spark, d, evolution.EvolutionStrategy.ADD_ONLY)
+    c.append("item", _table(spark, d, "events").where("event_id % 10 >= 5").select("ts", "event_id", "user_id", "value"))
+    return c.item("item").data
+
+
 def evolve_widen(spark, d):
     """A bigint column becomes double with the second append; the first segment is read as it is, then cast."""
     c = _evolved(spark, d, evolution.EvolutionStrategy.COMPATIBLE)
@@ -351,6 +435,7 @@ _OWN: dict[str, tuple[Callable, str | None]] = {
         "SELECT * FROM events WHERE (event_type IN ('click', 'view') AND value > 100) OR (event_type NOT IN ('click', 'view', 'purchase') AND value <= 10)",
     ),
     "write_roundtrip": (_read("orders", ["o_orderkey"]), "SELECT * FROM orders"),
+    "scan_filter_zoned": (scan_filter_zoned, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02 02:00:00'"),
     "index_last": (index_last, "SELECT max(ts) AS last_ts FROM events"),
     "head_k": (_ends(True), "SELECT * FROM events ORDER BY ts LIMIT 10"),
     "tail_k": (_ends(False), "SELECT * FROM events ORDER BY ts DESC LIMIT 10"),
@@ -362,9 +447,12 @@ _OWN: dict[str, tuple[Callable, str | None]] = {
         "SELECT * FROM events WHERE event_id % 10 < 6 UNION ALL SELECT event_id, ts, user_id, event_type, value * 10 AS value, props FROM events WHERE event_id % 10 >= 5",
     ),
     "append_multikey": (append_multikey, "SELECT * REPLACE (CASE WHEN o_orderkey % 10 < 5 THEN o_totalprice ELSE o_totalprice * 10 END AS o_totalprice) FROM orders"),
+    "append_widen": (append_widen, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS DOUBLE) ELSE value END AS v FROM events"),
+    "append_type_error": (append_type_error, "SELECT count(*) AS n, CAST(1 AS INT) AS refused FROM events"),
+    "append_category": (append_category, "SELECT event_type AS kind, count(*) AS n, (SELECT count(DISTINCT event_type) FROM events) AS categories FROM events GROUP BY 1"),
     "dup_keys": (dup_keys, "SELECT count(*) AS n FROM events o WHERE event_id % 10 < 6 AND EXISTS (SELECT 1 FROM events n WHERE n.event_id % 10 >= 5 AND n.ts = o.ts)"),
-    "dedup_first": (_dedup(False), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
-    "dedup_last": (_dedup(True), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "dedup_first": (_dedup("first"), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
+    "dedup_last": (_dedup("last"), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "distinct_rows": (distinct_rows, "SELECT DISTINCT event_type, user_id FROM events"),
     "read_batch_union": (read_batch_union, "SELECT event_id, value, event_type || 's' AS item FROM events WHERE event_type IN ('click', 'view')"),
     "snapshot_read": (snapshot_read, "SELECT * FROM events"),
@@ -377,6 +465,11 @@ _OWN: dict[str, tuple[Callable, str | None]] = {
     "span_days": (span_days, "SELECT date_diff('day', min(ts), max(ts)) AS days FROM events"),
     "tz_to_utc": (tz_to_utc, "SELECT event_id, (ts AT TIME ZONE 'US/Eastern') AT TIME ZONE 'UTC' AS utc FROM events"),
     "epoch_roundtrip": (epoch_roundtrip, "SELECT event_id, epoch_us(ts) AS us, ts FROM events"),
+    "typed_columns": (
+        typed_columns,
+        "SELECT event_id, strftime(ts, '%Y-%m') AS month, CAST(round(round(value, 2) * 1000) AS BIGINT) AS ms, event_type AS kind, CAST(floor(value / 10) * 10 AS BIGINT) AS lo, CAST(floor(value / 10) * 10 + 10 AS BIGINT) AS hi,"
+        " extract('hour' FROM (ts AT TIME ZONE 'UTC') AT TIME ZONE 'US/Eastern') AS hour, props, CAST(5 AS BIGINT) AS restored FROM events",
+    ),
     "json_extract": (json_extract, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "interval_struct": (interval_struct, "SELECT event_id, CAST(floor(value / 10) * 10 AS BIGINT) AS lo, CAST(floor(value / 10) * 10 + 10 AS BIGINT) AS hi FROM events"),
     "nested_roundtrip": (nested_roundtrip, "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, CAST(embedding[1] AS DOUBLE) AS first, label FROM embeddings"),
@@ -385,13 +478,16 @@ _OWN: dict[str, tuple[Callable, str | None]] = {
         val_counts,
         "SELECT count(*) FILTER (value < 10) AS below, count(*) FILTER (value > 500) AS above, count(*) FILTER (value IS NULL) AS null_value, count(*) FILTER (user_id IS NULL) AS null_user FROM events",
     ),
+    "val_range": (val_range, "SELECT count(*) FILTER (value < 10) AS below, count(*) FILTER (value > 500) AS above, bool_and(value BETWEEN 10 AND 500) AS passed FROM events"),
+    "val_nulls": (val_nulls, "SELECT count(*) FILTER (event_id % 7 = 0 OR value IS NULL) AS nulls, false AS value_full, count(*) = count(user_id) AS user_full FROM events"),
     "val_unique": (val_unique, "SELECT CAST(count(*) - count(DISTINCT user_id) AS BIGINT) AS repeats, count(*) = count(DISTINCT event_id) AS id_unique, count(*) = count(DISTINCT user_id) AS user_unique FROM events"),
     "val_sorted": (val_sorted, "SELECT count(*) AS falls FROM (SELECT value, lag(value) OVER (ORDER BY event_id) AS p FROM events) WHERE value < p"),
     "val_ohlc": (
         val_ohlc,
-        "SELECT count(*) AS bars, CAST(0 AS BIGINT) AS bad, count(*) FILTER (c < o) AS falling FROM (SELECT arg_min(value, ts) AS o, arg_max(value, ts) AS c FROM events GROUP BY date_trunc('hour', ts))",
+        "SELECT count(*) AS bars, count(*) FILTER (hour(h) % 5 = 0) AS bad, true AS whole_passed, count(*) FILTER (hour(h) % 5 = 0) = 0 AS planted_passed FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events)",
     ),
     "evolve_add": (evolve_add, "SELECT ts, event_id, user_id, CASE WHEN event_id % 10 >= 6 THEN value ELSE 0.0 END AS value FROM events"),
+    "evolve_add_overlap": (evolve_add_overlap, "SELECT ts, event_id, user_id, CASE WHEN event_id % 10 >= 5 THEN value ELSE 0.0 END AS value FROM events"),
     "evolve_widen": (evolve_widen, "SELECT ts, event_id, CASE WHEN event_id % 10 < 6 THEN CAST(user_id AS DOUBLE) ELSE CAST(user_id + 0.5 AS DOUBLE) END AS user_id FROM events"),
     "evolve_coerce": (evolve_coerce, "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS BIGINT) AS as_int FROM events"),
     "migrate_rename": (migrate_rename, "SELECT event_id, value AS amount FROM events"),

@@ -1,5 +1,6 @@
 """The dataframe store: stores, collections, items and what belongs to them."""
 
+from ..functions.keys import align_timezones, deduplicate
 from ..sources.text import read_csv
 from .aio import AsyncCollection, AsyncStore, async_store
 from .catalog import (
@@ -12,10 +13,13 @@ from .catalog import (
     get_partition_size,
     get_path,
     list_stores,
+    make_path,
+    path_exists,
     set_client,
     set_partition_size,
     set_path,
     store,
+    subdirs,
 )
 from .errors import (
     CollectionExistsError,
@@ -31,9 +35,10 @@ from .errors import (
     TransactionError,
     ValidationError,
 )
-from .evolution import EvolutionStrategy, Schema, SchemaChange, SchemaEvolution
+from .evolution import EvolutionStrategy, Schema, SchemaChange, SchemaEvolution, add_calculated_column, convert_index_to_datetime, rename_columns
 from .layout import calculate_optimal_partitions, optimize_time_series_partitions, rebalance_partitions
-from .memory import optimize_dataframe_memory, read_in_chunks
+from .log import get_logger, setup_logging
+from .memory import MemoryMonitor, check_memory_usage, estimate_dataframe_memory, get_memory_info, memory_efficient_read, optimize_dataframe_memory, read_in_chunks
 from .transactions import BatchTransaction, CollectionLock, Transaction, batch_transaction, transaction, with_lock
 from .validation import (
     ColumnExistsRule,

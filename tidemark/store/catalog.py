@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import same
+from ..functions.normal import ntz_us
 from . import layout
 from .errors import (
     CollectionExistsError,
@@ -41,15 +42,22 @@ from .errors import (
     StorageError,
     ValidationError,
 )
-from .evolution import EvolutionStrategy, Schema, SchemaEvolution, cast_to, target_schema
+from .evolution import EvolutionStrategy, Schema, SchemaEvolution, cast_to
 from .filters import compile_filters, may_match, normal_form
+from .locks import ItemLock
+from .merging import agreed_types, merged_tags
 from .types import SEQ, check_columns, decode_frame, encode_frame
 
-MANIFEST, SNAPSHOTS, RECORDS = "manifest.json", "_snapshots", "_commits"
+MANIFEST, SNAPSHOTS, RECORDS, LOCKS = "manifest.json", "_snapshots", "_commits", "_locks"
 STRATEGIES = ("keep_last", "keep_first", "keep_all", "error")
 CACHE_S = 300
+#: Segments that no manifest names are left alone for so long: they may belong to a write that isn't published yet,
+#: or to a reader that began before.
+VACUUM_S = 86_400
+#: Segments of an item from which on an append joins the small ones.
+MOST_SEGMENTS = 32
 _executor = concurrent.futures.ThreadPoolExecutor(8, thread_name_prefix="tidemark")
-_locks: dict[str, threading.RLock] = {}
+_locks: dict[str, ItemLock] = {}
 _settings: dict = {"root": None, "session": None, "partition_bytes": 99_000_000}
 
 
@@ -68,6 +76,19 @@ def get_path(*parts: str) -> Path:
     return (_settings["root"] or set_path()).joinpath(*parts)
 
 
+def make_path(*parts) -> Path:
+    return Path(*parts)
+
+
+def path_exists(path) -> bool:
+    return Path(path).exists()
+
+
+def subdirs(path) -> list[str]:
+    """The names of a folder's folders, those that the store keeps for itself left out."""
+    return sorted(p.name for p in Path(path).iterdir() if p.is_dir() and not p.name.startswith((".", "_")))
+
+
 def set_client(session: SparkSession | None) -> SparkSession | None:
     """The session that stores use; without one, the active one or a new one is."""
     _settings["session"] = session
@@ -125,6 +146,10 @@ def _load_json(path: Path) -> dict | None:
         return None
 
 
+#: The hidden column that names a row's segment.
+SEGMENT = "__segment"
+
+
 def _now() -> str:
     return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S.%f")
 
@@ -139,30 +164,46 @@ class Input:
     unnamed: bool
     bytes: int
     rows: int | None = None
+    tagged: bool = False
 
 
-def _bound(x):
-    """A key's bound as JSON: instants as text that sorts."""
-    if isinstance(x, datetime.datetime):
-        return {"at": x.isoformat(sep=" ", timespec="microseconds")}
-    return x if isinstance(x, (int, float, str)) and not isinstance(x, bool) else None
+def _bounds(key, kind: T.DataType) -> list | None:
+    """Aggregates for the bounds of a key: instants as microseconds since 1970, so that no time zone of the driver's
+    or the session's comes in.  None for types without bounds."""
+    if isinstance(kind, T.TimestampType):
+        key = F.unix_micros(key)
+    elif isinstance(kind, T.TimestampNTZType):
+        key = ntz_us(key)
+    elif not isinstance(kind, (T.IntegralType, T.StringType, T.FloatType, T.DoubleType)):
+        return None
+    return [F.min(key).alias("low"), F.max(key).alias("high"), F.count_if(key.isNull()).alias("unkeyed")]
 
 
-def _unbound(x):
-    return datetime.datetime.fromisoformat(x["at"]) if isinstance(x, dict) else x
+def _bound(x, kind: T.DataType):
+    return {"us": x, "zoned": isinstance(kind, T.TimestampType)} if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else x
 
 
-def _read_as(spark: SparkSession, manifest: dict, filters=None, columns: list[str] | None = None) -> DataFrame:
+def _meet(a: dict, b: dict) -> bool:
+    """Whether the keys of two segments may meet."""
+    plain = lambda x: x.get("us") if isinstance(x, dict) else x
+    low, high, first, last = (plain(x) for x in (a["low"], a["high"], b["low"], b["high"]))
+    if None in (low, high, first, last) or isinstance(low, str) != isinstance(first, str):
+        return True
+    return low <= last and first <= high
+
+
+def _read_as(spark: SparkSession, manifest: dict, filters=None, columns: list[str] | None = None, source: bool = False) -> DataFrame:
     """All rows of a manifest's segments in its schema, with SEQ; segments that can't hold a wanted row are left out.
 
     Segments of one schema are one scan.  Filters are applied to the scans, so
-    they and the column list reach Parquet.
+    they and the column list reach Parquet.  With ``source``, the column
+    SEGMENT names each row's segment.
     """
     schema = T.StructType.fromJson(json.loads(manifest["schema"]))
     key = manifest["keys"][0] if manifest["keys"] else None
     groups: dict[str, list[str]] = {}
     for segment in manifest["segments"]:
-        if key is None or may_match(filters, key, _unbound(segment["low"]), _unbound(segment["high"])):
+        if key is None or may_match(filters, key, segment["low"], segment["high"]):
             groups.setdefault(segment["schema"], []).append(segment["path"])
     wanted = compile_filters(filters, schema.names)
     names = schema.names if columns is None else columns
@@ -170,9 +211,12 @@ def _read_as(spark: SparkSession, manifest: dict, filters=None, columns: list[st
     for text, paths in groups.items():
         own = T.StructType.fromJson(json.loads(text))
         part = spark.read.schema(T.StructType([*own.fields, T.StructField(SEQ, T.LongType())])).parquet(*paths)
-        part = cast_to(part, own, schema, extra=[SEQ], fill=manifest.get("fill", False))
+        hidden = [SEQ, SEGMENT] if source else [SEQ]
+        if source:
+            part = part.withColumn(SEGMENT, F.regexp_extract("_metadata.file_path", r"/seg/([0-9a-f]+)/[^/]*$", 1))
+        part = cast_to(part, own, schema, extra=hidden, fill=manifest.get("fill", False))
         part = part if wanted is None else part.where(wanted)
-        parts.append(part.select(*(F.col(f"`{c}`") for c in names), SEQ))
+        parts.append(part.select(*(F.col(f"`{c}`") for c in names), *hidden))
     if not parts:
         fields = [schema[c] for c in names] + [T.StructField(SEQ, T.LongType())]
         return spark.createDataFrame([], T.StructType(fields))
@@ -263,12 +307,14 @@ class Collection:
 
     # -- manifests
     def _path(self, item: str) -> Path:
-        if not item or "/" in item or item in (".", "..") or item in (SNAPSHOTS, RECORDS):
+        if not item or "/" in item or item in (".", "..") or item in (SNAPSHOTS, RECORDS, LOCKS):
             raise ValidationError(f"{item!r} can't name an item")
         return self.root / item
 
-    def _lock(self, item: str) -> threading.RLock:
-        return _locks.setdefault(str(self._path(item)), threading.RLock())
+    def _lock(self, item: str) -> ItemLock:
+        self._path(item)
+        path = self.root / LOCKS / item
+        return _locks.setdefault(str(path), ItemLock(path))
 
     def _load(self, item: str) -> dict | None:
         return _load_json(self._path(item) / MANIFEST)
@@ -286,14 +332,31 @@ class Collection:
         return found
 
     def _publish(self, changes: dict[str, dict | None]) -> None:
-        """Make new manifests current (None deletes): one directly, several through a record that survives a crash."""
-        if len(changes) > 1:
-            record = self.root / RECORDS / f"{uuid.uuid4().hex}.json"
-            _publish_json(record, changes)
-            self._apply(changes)
-            record.unlink()
-        else:
-            self._apply(changes)
+        """Make new manifests current (None deletes): one directly, several through a record that survives a crash.
+
+        A manifest carries the token of the one that it was built on.  If
+        that isn't the current one any more, somebody else's change would be
+        lost, and a StorageError is raised.
+        """
+        locks = [self._lock(item) for item in sorted(changes)]
+        for lock in locks:
+            lock.acquire()
+        try:
+            bases = {item: (self._load(item) or {}).get("token") for item in changes}
+            for item, manifest in changes.items():
+                if manifest is not None and manifest.get("token") != bases[item]:
+                    raise StorageError(f"Item '{item}' was changed by another process in the meantime")
+            changes = {item: manifest and dict(manifest, token=uuid.uuid4().hex) for item, manifest in changes.items()}
+            if len(changes) > 1:
+                record = self.root / RECORDS / f"{uuid.uuid4().hex}.json"
+                _publish_json(record, {"bases": bases, "changes": changes})
+                self._apply(changes)
+                record.unlink()
+            else:
+                self._apply(changes)
+        finally:
+            for lock in reversed(locks):
+                lock.release()
 
     def _apply(self, changes: dict[str, dict | None]) -> None:
         for item, manifest in changes.items():
@@ -304,9 +367,24 @@ class Collection:
                 _publish_json(self._path(item) / MANIFEST, manifest)
 
     def _recover(self) -> None:
+        """Roll forward what a dead process left half published.  A record whose items are locked belongs to a living
+        one; of the others, only manifests are put in place whose base is still the current one."""
         for record in sorted((self.root / RECORDS).glob("*.json")) if (self.root / RECORDS).exists() else []:
-            self._apply(_load_json(record) or {})
-            record.unlink(missing_ok=True)
+            saved = _load_json(record)
+            if saved is None:
+                continue
+            locks, got = [self._lock(item) for item in sorted(saved["changes"])], []
+            try:
+                for lock in locks:
+                    if not lock.acquire(blocking=False):
+                        break
+                    got.append(lock)
+                if len(got) == len(locks) and record.exists():
+                    self._apply({item: m for item, m in saved["changes"].items() if (self._load(item) or {}).get("token") == saved["bases"][item]})
+                    record.unlink(missing_ok=True)
+            finally:
+                for lock in reversed(got):
+                    lock.release()
 
     # -- catalog
     @property
@@ -341,6 +419,14 @@ class Collection:
             held = self._cache[item] = (version, time.time(), dict(manifest["meta"]) | {"_updated": manifest["updated"]})
         return dict(held[2])
 
+    read_metadata = get_item_metadata
+
+    def write_metadata(self, item: str, metadata: dict) -> None:
+        """Replace the metadata of an existing item; its rows stay as they are."""
+        with self._lock(item):
+            old = self._manifest_of(item)
+            self._publish({item: dict(old, version=old["version"] + 1, meta={k: v for k, v in metadata.items() if k != "_updated"}, updated=_now())})
+
     def clear_metadata_cache(self, item: str | None = None) -> None:
         self._cache.pop(item, None) if item else self._cache.clear()
 
@@ -361,12 +447,14 @@ class Collection:
         self._publish({item: None})
         return True
 
-    def vacuum(self) -> int:
-        """Delete the segments that neither an item nor a snapshot names; the number of them."""
+    def vacuum(self, older_than_s: float = VACUUM_S) -> int:
+        """Delete the segments that neither an item nor a snapshot names and that were made so long ago; the number
+        of them."""
         named = {s["path"] for n in self.list_items() for s in self._manifest_of(n)["segments"]}
         for snapshot in self.list_snapshots():
             named |= {s["path"] for m in _load_json(self.root / SNAPSHOTS / f"{snapshot}.json")["items"].values() for s in m["segments"]}
-        gone = [p for p in self.root.glob("*/seg/*") if str(p) not in named]
+        until = time.time() - older_than_s
+        gone = [p for p in self.root.glob("*/seg/*") if str(p) not in named and p.stat().st_mtime <= until]
         for p in gone:
             shutil.rmtree(p)
         return len(gone)
@@ -400,7 +488,7 @@ class Collection:
         made = encode_frame(frame, epochdate)
         table = made.table.append_column(SEQ, pa.array(range(made.table.num_rows), pa.int64()))
         df = spark.createDataFrame(table, T.StructType([*made.schema.fields, T.StructField(SEQ, T.LongType())]))
-        return Input(df, made.keys, made.tags, made.unnamed, made.table.nbytes, made.table.num_rows)
+        return Input(df, made.keys, made.tags, made.unnamed, made.table.nbytes, made.table.num_rows, True)
 
     @staticmethod
     def _keys_first(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -417,9 +505,9 @@ class Collection:
         df = made.df.withColumn(SEQ, F.col(SEQ) + base)
         seen = Observation()
         stats = [F.count(F.lit(1)).alias("rows"), F.max(SEQ).alias("top")]
-        bounded = bool(made.keys) and isinstance(schema[made.keys[0]].dataType, (T.IntegralType, T.StringType, T.TimestampType, T.TimestampNTZType, T.FractionalType))
-        if bounded:
-            stats += [F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high"), F.count_if(keys[0].isNull()).alias("unkeyed")]
+        kind = schema[made.keys[0]].dataType if made.keys else None
+        bounds = _bounds(keys[0], kind) if made.keys else None
+        stats += bounds or []
         df = df.observe(seen, *stats)
         if n == 1:
             df = df.coalesce(1).sortWithinPartitions(*keys, SEQ)
@@ -433,8 +521,8 @@ class Collection:
         got = seen.get
         if not got["rows"]:
             return {"path": str(path), "rows": 0, "schema": schema.json(), "low": None, "high": None, "top": base - 1}
-        prune = bounded and not got["unkeyed"]
-        return {"path": str(path), "rows": got["rows"], "schema": schema.json(), "low": _bound(got["low"]) if prune else None, "high": _bound(got["high"]) if prune else None, "top": got["top"]}
+        prune = bounds and not got["unkeyed"]
+        return {"path": str(path), "rows": got["rows"], "schema": schema.json(), "low": _bound(got["low"], kind) if prune else None, "high": _bound(got["high"], kind) if prune else None, "top": got["top"]}
 
     def _validate(self, made: Input) -> None:
         if self._validator is not None:
@@ -457,6 +545,7 @@ class Collection:
         segment = self._segment(item, made, npartitions)
         schema = T.StructType([f for f in made.df.schema.fields if f.name != SEQ])
         return {
+            "token": (old or {}).get("token"),
             "version": (old or {}).get("version", 0) + 1,
             "keys": made.keys,
             "unnamed": made.unnamed,
@@ -479,7 +568,7 @@ class Collection:
         with self._lock(item):
             old = self._load(item)
             if old is not None and not overwrite:
-                raise ItemExistsError(f"Item '{item}' already exists. To overwrite, use `overwrite=True`")
+                raise ItemExistsError(f"There's an item '{item}' already; overwrite=True replaces it")
             self._publish({item: self._built(item, data, metadata, npartitions, epochdate, index, validate, old)})
 
     def write_threaded(self, *args, **kw) -> concurrent.futures.Future:
@@ -515,11 +604,26 @@ class Collection:
         return dict(zip(items, _executor.map(one, items)))
 
     def read_batch_union(self, items: list[str], columns: list[str] | None = None, filters=None) -> DataFrame:
-        """The rows of several items as one Spark frame, with the column ``item``."""
-        parts = [self.item(n, filters=filters, columns=columns).data.withColumn("item", F.lit(n)) for n in items]
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part, allowMissingColumns=True)
+        """The rows of several items as one Spark frame, with the column ``item``.
+
+        Items that are alike (schema, segments of one schema) are one scan, in
+        which a row's item is told from its file; so the plan grows with the
+        number of schemas, not of items.
+        """
+        groups: dict[str, list[Item]] = {}
+        for it in dict.fromkeys(items):
+            it = self.item(it, filters=filters, columns=columns)
+            m = it._manifest
+            alike = json.dumps([m["schema"], m["keys"], m.get("fill", False), sorted({x["schema"] for x in m["segments"]})])
+            groups.setdefault(alike, []).append(it)
+        merged = None
+        for own in groups.values():
+            first = own[0]
+            segments = [(x, it.item) for it in own for x in it._manifest["segments"]]
+            rows = _read_as(self.spark, dict(first._manifest, segments=[x for x, _ in segments]), normal_form(filters) or None, first._names(columns), source=True)
+            names = self.spark.createDataFrame([(Path(x["path"]).name, name) for x, name in segments], f"`{SEGMENT}` string, item string")
+            part = rows.join(F.broadcast(names), SEGMENT).drop(SEQ, SEGMENT)
+            merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
         return merged
 
     # -- appending
@@ -545,36 +649,50 @@ class Collection:
             raise ValueError(f"duplicate_handling must be one of {STRATEGIES}")
         epochdate = epochdate or any((old["tags"].get(k) or {}).get("kind") == "instant_ns" for k in old["keys"])
         made = self._input(data, index or (old["keys"] if isinstance(data, (DataFrame, pa.Table)) else None), epochdate)
-        if made.rows == 0 or made.rows is None and made.df.isEmpty():
+        if made.rows == 0:
             return None
         if made.keys != old["keys"]:
             raise ValidationError(f"keys {made.keys} don't match the item's keys {old['keys']}")
         if validate:
             self._validate(made)
-        schema, made = self._agreed(item, old, made, validate_schema)
-        keys = old["keys"]
+        schema, made, tags, nulled = self._agreed(item, old, made, validate_schema)
+        keys, spark = old["keys"], self.spark
         segments, base = list(old["segments"]), max([s["top"] for s in old["segments"]], default=-1) + 1
         if keys and duplicate_handling in ("keep_first", "keep_last"):
             made.df = _one_per_key(made.df, keys, last=duplicate_handling == "keep_last")
-        current = dict(old, schema=schema.json(), segments=segments)
-        if keys and duplicate_handling != "keep_all":
-            touched, held = self._overlap(current, made)
-            if touched:
-                if duplicate_handling == "error" and not same(made.df, held, keys, "left_semi").isEmpty():
-                    raise DataIntegrityError("duplicate indices: the item already has some of the new keys")
-                if duplicate_handling == "keep_first":
-                    made.df = same(made.df, held, keys, "left_anti")
-                if duplicate_handling == "keep_last":
-                    segments = self._without(item, current, touched, made)
-        segment = self._segment(item, made, npartitions, base)
-        if segment["rows"] == 0 and duplicate_handling == "keep_first":
-            return None
         # under evolution, columns that older rows lack get the default of their type
         fill = old.get("fill", False) or self.get_item_evolution(item) is not None
-        return dict(old, version=old["version"] + 1, schema=schema.json(), tags=made.tags | old["tags"], segments=[*segments, segment], fill=fill, updated=_now())
-
-    def _agreed(self, item: str, old: dict, made: Input, validate_schema: bool | None) -> tuple[T.StructType, Input]:
-        """The schema that the item has from now on, and the new rows in it."""
+        current = dict(old, schema=schema.json(), fill=fill)
+        # the new rows are computed once, here; what they meet is looked for with what has been written
+        segment = self._segment(item, made, npartitions, base)
+        if not segment["rows"]:
+            shutil.rmtree(segment["path"], ignore_errors=True)
+            return None
+        touched = [s for s in segments if s["rows"] and _meet(s, segment)] if keys and duplicate_handling != "keep_all" else []
+        if touched:
+            delta = _read_as(spark, dict(current, segments=[segment]))
+            new_keys = delta.select(*(F.col(f"`{k}`") for k in keys))
+            held = same(_read_as(spark, dict(current, segments=touched), None, keys, source=True).drop(SEQ), new_keys, keys, "left_semi")
+            if duplicate_handling == "error" and not held.isEmpty():
+                shutil.rmtree(segment["path"], ignore_errors=True)
+                raise DataIntegrityError("duplicate indices: the item already has some of the new keys")
+            if duplicate_handling == "keep_first":
+                left = self._segment(item, Input(same(delta, held.drop(SEGMENT), keys, "left_anti"), keys, {}, False, made.bytes, made.rows), npartitions)
+                shutil.rmtree(segment["path"], ignore_errors=True)
+                if not left["rows"]:
+                    shutil.rmtree(left["path"], ignore_errors=True)
+                    return None
+                segment = left
+            if duplicate_handling == "keep_last":
+                # no more names than there are segments
+                hit = {r[0] for r in held.select(SEGMENT).distinct().collect()}
+                segments = self._without(item, current, hit, new_keys)
+        segments = self._joined(item, current, [*segments, segment])
+        system = dict(old["system"], _failed_casts={c: old["system"].get("_failed_casts", {}).get(c, 0) + n for c, n in nulled.items()}) if nulled else old["system"]
+        return dict(old, version=old["version"] + 1, schema=schema.json(), tags=tags, segments=segments, fill=fill, system=system, updated=_now())
+
+    def _agreed(self, item: str, old: dict, made: Input, validate_schema: bool | None) -> tuple[T.StructType, Input, dict, dict[str, int]]:
+        """The schema that the item has from now on, the new rows in it, its tags, and what new values become null."""
         have, new = T.StructType.fromJson(json.loads(old["schema"])), T.StructType([f for f in made.df.schema.fields if f.name != SEQ])
         evolution = self.get_item_evolution(item)
         if evolution is not None:
@@ -584,37 +702,32 @@ class Collection:
             if validate_schema is not False:
                 lacking, extra = sorted(set(have.names) - set(new.names)), sorted(set(new.names) - set(have.names))
                 raise ValidationError(f"Schema mismatch detected: missing columns {lacking}, extra columns {extra}")
-        target = target_schema(have, new, widen=evolution is not None)
+        target, nulled = agreed_types(have, new, _read_as(self.spark, old), made.df, evolution)
+        tags = merged_tags(old["tags"], made.tags, have, new, target, made.tagged)
         df = cast_to(made.df, new, target, extra=[SEQ], fill=evolution is not None)
-        return target, Input(df, made.keys, made.tags, made.unnamed, made.bytes, made.rows)
-
-    def _overlap(self, manifest: dict, made: Input) -> tuple[list[dict], DataFrame | None]:
-        """The segments whose range of keys meets that of the new rows, and their keys."""
-        key = made.keys[0]
-        row = made.df.agg(F.min(f"`{key}`").alias("low"), F.max(f"`{key}`").alias("high"), F.count_if(F.col(f"`{key}`").isNull()).alias("unkeyed")).first()
-        touched = []
-        for s in manifest["segments"]:
-            low, high = _unbound(s["low"]), _unbound(s["high"])
-            if not s["rows"] or not row.unkeyed and low is not None and row.low is not None and (row.high < low or row.low > high):
-                continue
-            touched.append(s)
-        if not touched:
-            return [], None
-        return touched, _read_as(self.spark, dict(manifest, segments=touched), None, made.keys).drop(SEQ)
-
-    def _without(self, item: str, manifest: dict, touched: list[dict], made: Input) -> list[dict]:
-        """The segments without the rows of the new keys; only those that have some are written anew."""
-        new_keys = made.df.select(*(F.col(f"`{k}`") for k in made.keys))
-        kept = []
-        for s in manifest["segments"]:
-            rows = _read_as(self.spark, dict(manifest, segments=[s]), None) if s in touched else None
-            if rows is None or same(rows, new_keys, made.keys, "left_semi").isEmpty():
-                kept.append(s)
-                continue
-            left = self._segment(item, Input(same(rows, new_keys, made.keys, "left_anti"), made.keys, {}, False, layout.folder_bytes(s["path"])), None)
-            if left["rows"]:
-                kept.append(left)
-        return kept
+        return target, Input(df, made.keys, made.tags, made.unnamed, made.bytes, made.rows), tags, nulled
+
+    def _without(self, item: str, manifest: dict, hit: set[str], new_keys: DataFrame) -> list[dict]:
+        """The segments without the rows of the new keys: those that have some are written anew as one, in one job."""
+        old = [s for s in manifest["segments"] if Path(s["path"]).name in hit]
+        if not old:
+            return list(manifest["segments"])
+        left = same(_read_as(self.spark, dict(manifest, segments=old)), new_keys, manifest["keys"], "left_anti")
+        made = self._segment(item, Input(left, manifest["keys"], {}, False, sum(layout.folder_bytes(s["path"]) for s in old)), None)
+        kept = [s for s in manifest["segments"] if s not in old]
+        return [*kept, made] if made["rows"] else kept
+
+    def _joined(self, item: str, manifest: dict, segments: list[dict]) -> list[dict]:
+        """Segments, of which the small ones (under a file's size) are joined to one if there are many."""
+        if len(segments) <= MOST_SEGMENTS:
+            return segments
+        sizes = [layout.folder_bytes(s["path"]) for s in segments]
+        small = [k for k, n in enumerate(sizes) if n < get_partition_size()]
+        if len(small) <= MOST_SEGMENTS // 2:
+            return segments
+        rows = _read_as(self.spark, dict(manifest, segments=[segments[k] for k in small]))
+        made = self._segment(item, Input(rows, manifest["keys"], {}, False, sum(sizes[k] for k in small)), None)
+        return [s for k, s in enumerate(segments) if k not in small] + [made]
 
     def append_stream(self, item: str, data_iterator, chunk_size: int = 10_000, epochdate: bool = False, duplicate_handling: str = "keep_last", validate_schema: bool = True, reload_items: bool = True) -> int:
         """Append the frames of an iterator, gathered up to about ``chunk_size`` rows at a time; returns the rows taken.

@@ -85,7 +85,8 @@ class Schema:
         return new + gone + typed + moved + index
 
 
-#: Types that a column may take on without loss, by the type it has.  Fixed values.
+#: Types that a column may take on, by the type it has; bigint to double only for integers that double tells apart, which
+#: an append checks.  Fixed values.
 WIDER = {
     "smallint": {"int", "bigint"},
     "int": {"bigint", "double", "string"},

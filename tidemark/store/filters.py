@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import operator
 from functools import reduce
 
@@ -61,23 +62,40 @@ def compile_filters(filters, columns: list[str]) -> Column | None:
     return reduce(operator.or_, (reduce(operator.and_, (_one(*x) for x in every), F.lit(True)) for every in alternatives))
 
 
+def _micros(value, zoned: bool) -> int:
+    """An instant's microseconds since 1970.  A value of another kind than the key's has another meaning in each time
+    zone of a session, so it raises a TypeError, and nothing is left out for it."""
+    if not isinstance(value, datetime.datetime) or (value.tzinfo is not None) != zoned:
+        raise TypeError(f"{value!r} can't be compared with the key's bounds")
+    passed = value - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC if zoned else None)
+    return (passed.days * 86_400 + passed.seconds) * 1_000_000 + passed.microseconds
+
+
 def may_match(filters, key: str, low, high) -> bool:
-    """Whether a segment whose first key lies between ``low`` and ``high`` can hold a row that passes."""
+    """Whether a segment whose first key lies between ``low`` and ``high`` can hold a row that passes.
+
+    Bounds of instants are ``{"us": microseconds since 1970 in UTC, "zoned": whether the key has a zone}``.
+    """
     alternatives = normal_form(filters)
     if not alternatives or low is None or high is None:
         return True
+    plain = _value
+    if isinstance(low, dict):
+        zoned, low, high = low.get("zoned"), low.get("us"), high.get("us")
+        if low is None or high is None:
+            return True
+        plain = lambda x: _micros(_value(x), zoned)
 
     def possible(op: str, value) -> bool:
         try:
-            value = _value(value)
+            if op == "in":
+                return any(low <= plain(v) <= high for v in value)
             if op in ("=", "=="):
-                return low <= value <= high
+                return low <= plain(value) <= high
             if op in ("<", "<="):
-                return low < value or (op == "<=" and low == value)
+                return low < plain(value) or (op == "<=" and low == plain(value))
             if op in (">", ">="):
-                return high > value or (op == ">=" and high == value)
-            if op == "in":
-                return any(low <= _value(v) <= high for v in value)
+                return high > plain(value) or (op == ">=" and high == plain(value))
         except TypeError:
             pass
         return True

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import ValidationError
+
 MB = 1 << 20
 #: Rows from which on an item with a time key is laid out by time.
 TIME_ROWS = 10_000
@@ -55,15 +57,26 @@ def time_ranges(df: DataFrame, key: str, freq: str = "auto") -> tuple[str | None
     return freq, place(row.b) - place(row.a) + 1
 
 
-def optimize_time_series_partitions(data: DataFrame, key: str, freq: str = "auto") -> DataFrame:
-    """A Spark frame partitioned by ranges of its time key, one for each month, quarter or year that it spans.
+def optimize_time_series_partitions(data, key: str | None = None, freq: str = "auto") -> DataFrame:
+    """A frame partitioned by ranges of its time key, one for each month, quarter or year that it spans.
 
-    More than 100 ranges, or an unknown length, leave the number to the size.
-    Ranges are cut by rows, so a busy month is no oversized task.
+    A pandas frame is taken with its index as the key.  More than 100 ranges,
+    or an unknown length, leave the number to the size.  Ranges are cut by
+    rows, so a busy month is no oversized task.
     """
-    _, n = time_ranges(data, key, freq)
+    size = None
+    if isinstance(data, pd.DataFrame):
+        from .catalog import get_client
+        from .types import encode_frame
+
+        made, size = encode_frame(data), calculate_optimal_partitions(data)
+        data = get_client().createDataFrame(made.table, made.schema)
+        key = key or next(iter(made.keys), None)
+    if key is None or not isinstance(data.schema[key].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        raise ValidationError("ranges of time need a key of instants")
+    _, n = time_ranges(data, f"`{key}`", {"monthly": "month", "quarterly": "quarter", "yearly": "year"}.get(freq, freq))
     if not n or n > MOST_RANGES:
-        n = calculate_optimal_partitions(data)
+        n = size or calculate_optimal_partitions(data)
     return data.repartitionByRange(n, key).sortWithinPartitions(key)
 
 

@@ -25,33 +25,37 @@ FEW_FLOATS, FEW_TEXTS = 1000, 0.5
 _log = logging.getLogger("tidemark")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one binary value in Arrow's stream format."""
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+
 def read_in_chunks(collection: Collection, item: str, chunk_size: int = 100_000, columns: list[str] | None = None) -> Iterator[pd.DataFrame]:
     """The rows in order as pandas frames of exactly ``chunk_size`` rows (the last one may have fewer).
 
-    Partitions are fetched one by one, so the driver holds no more than two of
-    them and a chunk.
+    Rows come as Arrow batches, partition by partition, so the driver holds
+    no more than two partitions and a chunk; its memory is checked after each
+    chunk.
     """
     it = collection.item(item, columns=columns)
     order = [F.col(f"`{k}`") for k in it.keys] + [SEQ]
-    df, names = it._rows(), it._names(columns)
-    ordered = df.orderBy(*order).select(*(F.col(f"`{c}`") for c in names))
-    schema = T.StructType([df.schema[c] for c in names])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow, held = to_arrow_schema(schema), []
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(row))
-        if len(held) == chunk_size:
-            yield _frame(held, arrow, it)
-            held = []
-    if held:
-        yield _frame(held, arrow, it)
-
-
-def _frame(rows: list[tuple], schema: pa.Schema, it) -> pd.DataFrame:
-    plain = lambda x: x.asDict(recursive=True) if isinstance(x, T.Row) else x
-    table = pa.table([pa.array([plain(r[k]) for r in rows], f.type) for k, f in enumerate(schema)], names=schema.names)
-    return decode_frame(table, it.keys, it._manifest["tags"], it._manifest["unnamed"])
+    names = it._names(columns)
+    ordered = it._rows().orderBy(*order).select(*(F.col(f"`{c}`") for c in names))
+    frame = lambda table: decode_frame(table, it.keys, it._manifest["tags"], it._manifest["unnamed"])
+    held: pa.Table | None = None
+    for row in ordered.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+        more = pa.ipc.open_stream(row["batch"]).read_all()
+        held = more if held is None else pa.concat_tables([held, more])
+        while held.num_rows >= chunk_size:
+            yield frame(held.slice(0, chunk_size).combine_chunks())
+            held = held.slice(chunk_size)
+            check_memory_usage()
+    if held is not None and held.num_rows:
+        yield frame(held.combine_chunks())
 
 
 @contextmanager
@@ -118,7 +122,7 @@ def _optimize_pandas(df: pd.DataFrame, deep: bool) -> pd.DataFrame:
         elif pd.api.types.is_float_dtype(values.dtype) and isinstance(values.dtype, np.dtype):
             narrow = values.astype("float32")
             if not deep or values.nunique() >= min(FEW_FLOATS, max(1, len(values) // 2)):
-                made[name] = narrow if np.array_equal(narrow.astype("float64"), values, equal_nan=True) or np.isfinite(narrow).all() else values
+                made[name] = narrow if np.array_equal(narrow.astype("float64"), values, equal_nan=True) else values
             else:
                 made[name] = values.astype("category")
         elif values.dtype == object and len(values) and values.map(lambda x: x is None or isinstance(x, str)).all():

@@ -175,12 +175,15 @@ class SortedKeyRule(ValidationRule):
     def extra_problem(self, df: DataFrame, keys: list[str], order: DataFrame) -> str | None:
         if not keys or SEQ not in order.columns:
             return None
-        key = F.col(f"`{keys[0]}`")
-        runs = order.select(key.alias("k"), F.col(SEQ).alias("s"), F.shiftright(SEQ, 20).alias("r"))
+        n = self.falls(order, keys[0]).first()["falls"]
+        return f"{n} falls" if n else None
+
+    def falls(self, order: DataFrame, key: str) -> DataFrame:
+        """``falls``: how often the key is less than in the row before, by the order column."""
+        runs = order.select(F.col(f"`{key}`").alias("k"), F.col(SEQ).alias("s"), F.floor(F.col(SEQ) / self.RUN).alias("r"))
         inner = runs.withColumn("p", F.lag("k").over(Window.partitionBy("r").orderBy("s"))).where("k < p")
         ends = runs.groupBy("r").agg(F.min_by("k", "s").alias("a"), F.max_by("k", "s").alias("b")).withColumn("p", F.lag("b").over(Window.orderBy("r"))).where("a < p")
-        n = inner.select("p").unionByName(ends.select("p")).count()
-        return f"{n} falls" if n else None
+        return inner.select("p").unionByName(ends.select("p")).agg(F.count("*").alias("falls"))
 
 
 class DataValidator:

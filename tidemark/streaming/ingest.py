@@ -17,11 +17,12 @@ def append_stream(stream: DataFrame, collection: Collection, item: str, index: l
     stream_id = checkpoint.rstrip("/")
 
     def take(batch: DataFrame, number: int) -> None:
-        old = collection._load(item)
-        done = ((old or {}).get("system") or {}).get("_streams", {})
-        if old is not None and done.get(stream_id, -1) >= number or batch.isEmpty():
-            return
         with collection._lock(item):
+            # read under the lock: what's built on it must be current when it's published
+            old = collection._load(item)
+            done = ((old or {}).get("system") or {}).get("_streams", {})
+            if old is not None and done.get(stream_id, -1) >= number or batch.isEmpty():
+                return
             if old is None:
                 new = collection._built(item, batch, None, None, False, index, True)
             else:
@@ -34,7 +35,7 @@ def append_stream(stream: DataFrame, collection: Collection, item: str, index: l
 
 
 def windowed_counts(stream: DataFrame, ts: str, late: str, length: str, slide: str | None = None, keys: list[str] = ()) -> DataFrame:
-    """Rows and distinct-free sums by event-time window; rows more than ``late`` behind are dropped by the watermark."""
+    """Rows by event-time window and keys; rows more than ``late`` behind are dropped by the watermark."""
     window = F.window(ts, length, slide) if slide else F.window(ts, length)
     return stream.withWatermark(ts, late).groupBy(window.alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))
 
