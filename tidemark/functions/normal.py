@@ -24,16 +24,25 @@ _INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+#: What may follow the seconds in the notations that are read without the steps, digits written as 0.  Fixed values.
+_FRACTIONS, _ZONES = ["", ".000", ".000000"], ["", "Z", "+00:00", "-00:00"]
+
+
 def instant_us(text: Column) -> Column:
     """Microseconds since 1970-01-01 UTC of a text in ISO 8601, extended or basic; null if it isn't a valid instant.
 
     An offset holds where given, else the text is in UTC; a date alone means
-    its midnight.  The text is evaluated once.
+    its midnight.  Texts in the usual extended forms are told by their shape
+    and cast as they are; only others go through the steps.
     """
     t = F.upper(F.trim(text))
+    shape = F.translate(t, "123456789", "000000000")
+    usual = {zone: [f"0000-00-00{mark}00:00:00{part}{zone}" for mark in "T " for part in _FRACTIONS] for zone in _ZONES}
+    steps = t
     for pattern, by in _STEPS:
-        t = F.regexp_replace(t, pattern, by)
-    return F.unix_micros(F.regexp_extract(t, _INSTANT, 0).try_cast("timestamp"))
+        steps = F.regexp_replace(steps, pattern, by)
+    readable = F.when(shape.isin(usual[""]), F.concat(t, F.lit("Z"))).when(shape.isin([x for z in _ZONES[1:] for x in usual[z]]), t).otherwise(F.regexp_extract(steps, _INSTANT, 0))
+    return F.unix_micros(readable.try_cast("timestamp"))
 
 
 def ntz_us(ts: Column) -> Column:

@@ -24,6 +24,12 @@ def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     return compaction.publish(done, Scratch(spark, "published").path).drop("other")
 
 
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """What it's all about: of each item, in how many files its records are."""
+    done = compaction.compact(_table(spark, d, "part_files"))
+    return compaction.layout(compaction.publish(done, Scratch(spark, "published").path))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).where("origin = 'filled'").select("collection_name", "item_name", "period_no")
 
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_compacted": p1_compacted,
+        "p1_files": p1_files,
         "p2_found": p2_found,
         "p2_grid": _grid,
         "p4_found": p4_found,
@@ -91,6 +98,10 @@ QUALIFY row_number() OVER (PARTITION BY collection_name, item, idx_us, value1, v
         "p1_compacted": rf"""
 WITH {_P1_RECORDS}
 SELECT DISTINCT collection_name, item AS item_name, idx_us, value1, value2, category FROM records""",
+        "p1_files": rf"""
+WITH {_P1_RECORDS}
+SELECT collection_name, item AS item_name, CAST(1 AS BIGINT) AS n_files, count(*) AS n_records
+FROM (SELECT DISTINCT collection_name, item, idx_us, value1, value2, category FROM records) GROUP BY 1, 2""",
         "p2_found": rf"""
 WITH usable AS (
     SELECT r.collection_name, item_name,

@@ -89,6 +89,11 @@ class Scratch:
         found = [str(s.getPath()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
         return sorted(x for x in found if x.endswith(".parquet"))
 
+    def bytes(self, name: str) -> int:
+        """The bytes of a table's files."""
+        fs, folder = self._fs(name)
+        return int(fs.getContentSummary(folder).getLength()) if fs.exists(folder) else 0
+
     def folders(self, name: str) -> list[str]:
         """The names of the folders of a table that was written in parts."""
         fs, folder = self._fs(name)
