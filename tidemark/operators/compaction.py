@@ -44,6 +44,8 @@ RUN = ["made_at", "run_no"]
 RECORD = ["idx_us", "value1", "value2", "category", "other"]
 #: The record and its item as 128 bits: equal ones are found by these.
 HASH = ["h1", "h2"]
+#: The parts of a level's folder.
+KEPT, AGAIN = "_again=false", "_again=true"
 WORKING_COPY = "__"
 FAN_IN, TARGET_BYTES = 64, 128 << 20
 #: A tier holds runs of up to so many times the size of its smallest, and is merged when it has so many of them.
@@ -117,10 +119,11 @@ class _Store:
         return self._tables([f"journal/{k}" for k in range(1, self.level + 1)], "level int, txn_id string, role string, " + _RUNS)
 
     def survivors(self) -> DataFrame:
-        return self._tables([f"records/{k}" for k in self.live], _HELD)
+        return self._tables([f"records/{k}/{KEPT}" for k in self.live], _HELD)
 
     def repeats(self) -> DataFrame:
-        return self._tables([f"repeats/{k}" for k in self.ingested], "file_id bigint, line_no int")
+        names = [f"records/{k}/{AGAIN}" for k in self.ingested]
+        return self._tables([x for x in names if self.at.exists(x)], "file_id bigint, line_no int")
 
     def runs(self) -> DataFrame:
         return self._tables([f"runs/{self.level}"] if self.level else [], _RUNS)
@@ -146,8 +149,9 @@ class _Store:
     def commit(self, level: int, plan: DataFrame, carried: DataFrame, ingest: bool) -> None:
         """After a level's records were written: its runs and journal, then the commit, then what's no longer needed
         is deleted."""
-        held = self.at.read(f"records/{level}", _HELD)
-        n, size = held.count(), self.at.bytes(f"records/{level}")
+        kept = f"records/{level}/{KEPT}"
+        held = self._tables([kept] if self.at.exists(kept) else [], _HELD)
+        n, size = held.count(), self.at.bytes(kept)
         each = size / n if n else 0.0  # a record's bytes as they were written
         made = held.groupBy(*ITEM, *RUN).agg(F.count("*").alias("n_records")).withColumn("n_bytes", F.ceil(F.col("n_records") * each).cast("bigint"))
         live = self.at.write(made.unionByName(carried), f"runs/{level}")
@@ -163,7 +167,7 @@ class _Store:
         gone = set(self.live) - set(needed)
         self.level, self.live, self.ingested = level, needed, [*self.ingested, level] if ingest else self.ingested
         self.at.commit_json("committed", {"level": level, "live": self.live, "ingested": self.ingested})
-        for name in [*(f"records/{k}" for k in gone), f"counts/{level}", f"plan/{level}", *([f"runs/{level - 1}"] if level > 1 else [])]:
+        for name in [*(f"records/{k}/{KEPT}" for k in gone), f"counts/{level}", f"plan/{level}", *([f"runs/{level - 1}"] if level > 1 else [])]:
             self.at.drop(name)
 
     def ingest(self, files: DataFrame) -> bool:
@@ -193,18 +197,12 @@ class _Store:
             older = self.survivors().select(*HASH, F.lit(True).alias("_old"))
             merged = merged.join(older, HASH, "left").withColumn("_again", F.col("_again") | F.col("_old").isNotNull())
         columns = [*ITEM, F.lit(level).alias("made_at"), F.col("_group").alias("run_no"), *place, *RECORD, *HASH]
-        # both parts in one pass; the repeats' columns are cut down after that
-        self.at.write_parts(merged.select(*columns, "_again"), f"ingest/{level}", "_again")
-        kept, again = (self._part(f"ingest/{level}/_again={x}") for x in ("false", "true"))
-        self.at.write_sorted(kept, f"records/{level}", [*ITEM, "run_no", "idx_us", *place])
-        self.at.write(again.select(*place), f"repeats/{level}")
+        # both parts in one pass; what's kept is put in order when it's merged or published
+        self.at.drop(f"records/{level}")
+        self.at.write_parts(merged.select(*columns, "_again"), f"records/{level}", "_again")
         self.commit(level, plan, self.runs(), True)
-        self.at.drop(f"ingest/{level}")
         return True
 
-    def _part(self, name: str) -> DataFrame:
-        return self._tables([name] if self.at.exists(name) else [], _HELD)
-
     def merge(self) -> bool:
         """A further level, unless no tier of an item has ``FEW`` runs."""
         level, runs = self.level + 1, self.runs()
@@ -214,7 +212,7 @@ class _Store:
             return False
         read = same(self.survivors(), plan.select(*ITEM, *RUN, "_group"), [*ITEM, *RUN])
         out = read.withColumns({"made_at": F.lit(level), "run_no": F.col("_group")}).select(*ITEM, *RUN, "file_id", "line_no", *RECORD, *HASH)
-        self.at.write_sorted(out, f"records/{level}", [*ITEM, "run_no", "idx_us", "file_id", "line_no"])
+        self.at.write_sorted(out, f"records/{level}/{KEPT}", [*ITEM, "run_no", "idx_us", "file_id", "line_no"])
         self.commit(level, plan, marked.where("_group is null").select(*ITEM, *RUN, "n_records", "n_bytes"), False)
         return True
 
