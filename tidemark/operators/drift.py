@@ -83,7 +83,7 @@ def _pairs(known: DataFrame) -> DataFrame:
     return with_next(known, ITEM, "schema_version", ["schema_file_id", "col_names", "dtypes", "index_dtype"], WIDTH).where("next_schema_version is not null")
 
 
-def _renames(files: DataFrame, pairs: DataFrame) -> DataFrame:
+def _renames(files: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """``collection_name, item_name, schema_version`` (the earlier one), ``old_name, new_name``: gone and new names
     with at least two rows, of the same index instant, that have both values, all of them equal."""
     asked = pairs.where("size(gone) > 0 and size(fresh) > 0")
@@ -92,9 +92,12 @@ def _renames(files: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = asked.select("schema_file_id", F.struct(*pair, F.lit(True).alias("earlier")).alias("_as")).unionByName(asked.select(F.col("next_schema_file_id").alias("schema_file_id"), F.struct(*pair, F.lit(False).alias("earlier")).alias("_as")))
     wanted = sides.groupBy("schema_file_id").agg(F.collect_list("_as").alias("_as"))  # two entries at most
     rows = path_values(files, wanted).where("idx_us is not null").select("idx_us", "values", F.explode("_as").alias("_as")).select("_as.*", "idx_us", "values")
-    named = lambda names: F.filter(F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at("values", n).alias("value"))), lambda s: s["value"].isNotNull())
-    old = rows.where("earlier").select(*VERSION, "idx_us", named(F.col("gone")).alias("_old"))
-    new = rows.where("not earlier").select(*VERSION, "idx_us", named(F.col("fresh")).alias("_new"))
+    names = F.when(F.col("earlier"), F.col("gone")).otherwise(F.col("fresh"))
+    named = F.filter(F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at("values", n).alias("value"))), lambda s: s["value"].isNotNull())
+    # written, so that a payload is read once, not once as the earlier and once as the later side
+    held = scratch.write(rows.select(*VERSION, "earlier", "idx_us", named.alias("_named")).where("size(_named) > 0"), "sides")
+    old = held.where("earlier").select(*VERSION, "idx_us", F.col("_named").alias("_old"))
+    new = held.where("not earlier").select(*VERSION, "idx_us", F.col("_named").alias("_new"))
     both = old.join(new, [*VERSION, "idx_us"]).select(*VERSION, F.explode("_old").alias("_old"), "_new").select(*VERSION, "_old", F.explode("_new").alias("_new"))
     x, y = F.col("_old.value"), F.col("_new.value")
     equal = F.coalesce(number(x) == number(y), F.lit(False)) | (x == y)
@@ -116,7 +119,7 @@ def changes(files: DataFrame) -> DataFrame:
     names = F.col("col_names")
     pairs = _pairs(known).withColumns({"gone": F.array_except(names, "next_col_names"), "fresh": F.array_except("next_col_names", names)})
     pairs = scratch.write(pairs, "pairs")
-    renames = _renames(files, pairs).groupBy(*VERSION).agg(F.collect_set(F.struct("old_name", "new_name")).alias("renamed"))
+    renames = _renames(files, pairs, scratch).groupBy(*VERSION).agg(F.collect_set(F.struct("old_name", "new_name")).alias("renamed"))
     # the sets are no longer than the two lists of names allow
     every = pairs.join(renames, VERSION, "left").withColumn("renamed", F.coalesce("renamed", F.expr("array()")))
     types = lambda n, d, name: F.element_at(F.col(d), F.array_position(F.col(n), name).cast("int"))

@@ -55,33 +55,38 @@ def changes(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     order = listed.select("collection_name", "snapshot_name", F.row_number().over(ordered).alias("_no"), F.lead("snapshot_name").over(ordered).alias("_next_name"))
 
     values, texts = ["value1", "value2"], ["remark"]
-    read = rows.select(
-        "collection_name", "snapshot_name", "item_name", "category", ntz_us(F.col("idx")).alias("idx_us"), "row_id", *(_value(F.col(c)).alias(c) for c in values), *texts
-    ).join(order, ["collection_name", "snapshot_name"])
-    # repeated rows of a key shrink to one before they are shuffled
-    one = read.groupBy("_no", *KEY).agg(F.min_by(F.struct(*values, *texts), F.col("row_id")).alias("_row"), F.first("snapshot_name").alias("snapshot_name"), F.first("_next_name").alias("_next_name"))
-    one = one.select("_no", *KEY, "snapshot_name", "_next_name", "_row.*").withColumn("_hash", _row_hash(values, texts))
-
-    old = one.where("_next_name is not null").select(
-        (F.col("_no") + 1).alias("_o_no"), *(F.col(c).alias(f"_o_{c}") for c in KEY), F.col("_next_name").alias("_o_name"), F.col("_hash").alias("_o_hash"), *(F.col(c).alias(f"old_{c}") for c in values + texts)
-    )
-    new = one.where("_no > 1").select("_no", *KEY, "snapshot_name", "_hash", *(F.col(c).alias(f"new_{c}") for c in values + texts))
-    same = F.col("_no") == F.col("_o_no")
-    for c in KEY:
-        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    both = new.join(old, same, "full_outer")
+    # keys without nulls, so that they're equal by themselves: each side's rows are distributed once, by these and the
+    # snapshot, for the reduction of repeated rows and for the join alike
+    plain = [F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(f"_{c}") for c in KEY[:3]]
+    instant = ntz_us(F.col("idx"))
+    read = rows.select(*plain, F.coalesce(instant, F.lit(0)).alias("_us"), instant.isNull().alias("_none"), "snapshot_name", "collection_name", "row_id", *(_value(F.col(c)).alias(c) for c in values), *texts)
+    read = read.join(order, ["collection_name", "snapshot_name"])
+    keys = ["_collection_name", "_item_name", "_category", "_us", "_none"]
+
+    def side(which: str, no: Column, name: str) -> DataFrame:
+        """The one row of each key and snapshot, under the number of the later snapshot; repeated rows shrink to one
+        before they are shuffled."""
+        own = read.withColumn("_at", no).where(F.col(name).isNotNull() & (F.col("_at") > 1))
+        row = F.struct(*values, *texts, F.col(name).alias("name"))
+        one = own.groupBy("_at", *keys).agg(F.min_by(row, F.col("row_id")).alias("_row")).select("_at", *keys, "_row.*").withColumn("hash", _row_hash(values, texts))
+        return one.select("_at", *keys, *(F.col(c).alias(f"{which}_{c}") for c in (*values, *texts, "name", "hash")))
+
+    new, old = side("new", F.col("_no"), "snapshot_name"), side("old", F.col("_no") + 1, "_next_name")
+    both = new.join(old, ["_at", *keys], "full_outer")
 
     exact = F.lit(False)
     for c in values:
         exact = exact | _differ(F.col(f"old_{c}"), F.col(f"new_{c}"))
     for c in texts:
         exact = exact | ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
-    kind = F.when(F.col("_o_no").isNull(), "added").when(F.col("_no").isNull(), "removed").when((F.col("_hash") != F.col("_o_hash")) & exact, "changed")
-    removed = F.col("_no").isNull()
+    kind = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when((F.col("new_hash") != F.col("old_hash")) & exact, "changed")
+    text = lambda c: F.when(F.col(f"_{c}") != "", F.substring(f"_{c}", 2, 1 << 30)).alias(c)
     return both.withColumn("change_kind", kind).where("change_kind is not null").select(
-        *(F.when(removed, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) for c in KEY[:1]),
-        F.coalesce("snapshot_name", "_o_name").alias("snapshot_name"),
-        *(F.when(removed, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) for c in KEY[1:]),
+        text("collection_name"),
+        F.coalesce("new_name", "old_name").alias("snapshot_name"),
+        text("item_name"),
+        text("category"),
+        F.when(~F.col("_none"), F.col("_us")).alias("idx_us"),
         "change_kind",
-        *(f"{side}_{c}" for c in values + texts for side in ("old", "new")),
+        *(f"{which}_{c}" for c in values + texts for which in ("old", "new")),
     )

@@ -113,6 +113,41 @@ WITH usable AS (
   seen AS (SELECT DISTINCT collection_name, item_name, CAST(p AS BIGINT) AS p FROM usable WHERE p IS NOT NULL),
   steps AS (SELECT *, lead(p) OVER (PARTITION BY collection_name, item_name ORDER BY p) AS n FROM seen)
 SELECT collection_name, item_name, unnest(range(p + 1, n)) AS period_no FROM steps WHERE n > p + 1""",
+        "p4_found": rf"""
+WITH v AS (
+    SELECT collection_name, item_name, schema_version, schema_file_id, col_names, list_transform(col_dtypes, lambda x: lower(trim(x))) AS dtypes, lower(trim(index_dtype)) AS idx, payload
+    FROM schema_files WHERE schema_version IS NOT NULL AND col_names IS NOT NULL AND col_dtypes IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY collection_name, item_name, schema_version ORDER BY schema_file_id) = 1),
+  p AS (
+    SELECT *, lead(schema_version) OVER w AS nv, lead(schema_file_id) OVER w AS nf, lead(col_names) OVER w AS nn, lead(dtypes) OVER w AS nd, lead(idx) OVER w AS ni
+    FROM v WINDOW w AS (PARTITION BY collection_name, item_name ORDER BY schema_version)),
+  q AS (
+    SELECT *, list_filter(col_names, lambda x: NOT list_contains(nn, x)) AS gone, list_filter(nn, lambda x: NOT list_contains(col_names, x)) AS fresh,
+           list_filter(col_names, lambda x: list_contains(nn, x)) AS kept
+    FROM p WHERE nv IS NOT NULL),
+  fields AS (
+    SELECT schema_file_id, col_names, idx, string_split(line, ',') AS f
+    FROM (SELECT schema_file_id, col_names, idx, unnest(string_split(replace(payload, chr(13), ''), chr(10))) AS line FROM v) WHERE line <> ''),
+  cells AS (
+    SELECT schema_file_id, col_names[k] AS name, nullif(f[k + 1], '') AS value,
+           CASE WHEN idx = 'int64' AND regexp_full_match(trim(f[1]), '-?\d+') THEN TRY_CAST(f[1] AS BIGINT) // 1000 ELSE {_INSTANT.format(x="f[1]")} END AS us
+    FROM (SELECT *, unnest(range(1, len(col_names) + 1)) AS k FROM fields)),
+  renames AS (
+    SELECT q.schema_file_id, a.name AS old_name, b.name AS new_name
+    FROM q JOIN cells a ON a.schema_file_id = q.schema_file_id AND list_contains(q.gone, a.name) AND a.value IS NOT NULL
+           JOIN cells b ON b.schema_file_id = q.nf AND list_contains(q.fresh, b.name) AND b.value IS NOT NULL AND a.us = b.us
+    GROUP BY ALL HAVING count(*) >= 2 AND bool_and(a.value = b.value OR coalesce(TRY_CAST(a.value AS DOUBLE) = TRY_CAST(b.value AS DOUBLE), false))),
+  paired AS (
+    SELECT q.*, unnest(kept) AS old_name, unnest(kept) AS new_name FROM q
+    UNION ALL SELECT q.*, r.old_name, r.new_name FROM q JOIN renames r USING (schema_file_id)),
+  found AS (
+    SELECT collection_name, item_name, nv, 'column_renamed' AS t, new_name AS c FROM paired WHERE old_name <> new_name
+    UNION SELECT collection_name, item_name, nv, 'type_changed', new_name FROM paired WHERE dtypes[list_position(col_names, old_name)] IS DISTINCT FROM nd[list_position(nn, new_name)]
+    UNION SELECT collection_name, item_name, nv, 'column_added', x FROM (SELECT *, unnest(fresh) AS x FROM q) q WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.schema_file_id = q.schema_file_id AND r.new_name = x)
+    UNION SELECT collection_name, item_name, nv, 'column_removed', x FROM (SELECT *, unnest(gone) AS x FROM q) q WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.schema_file_id = q.schema_file_id AND r.old_name = x)
+    UNION SELECT collection_name, item_name, nv, 'columns_reordered', '' FROM q WHERE kept <> list_filter(nn, lambda x: list_contains(col_names, x))
+    UNION SELECT collection_name, item_name, nv, 'index_type_changed', '' FROM q WHERE idx IS DISTINCT FROM ni)
+SELECT collection_name, item_name, nv AS schema_version, t AS change_type, c AS column_name FROM found""",
         "p5_found": """
 WITH no AS (
     SELECT collection_name, snapshot_name, row_number() OVER w AS k, lead(snapshot_name) OVER w AS later
