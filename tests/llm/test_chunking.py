@@ -54,10 +54,22 @@ def test_an_edit_stays_local(encoder):
 
 def test_strong_boundaries_win(encoder):
     text = ("word " * 300 + "\n") * 2 + "diff --git a b\n" + "word " * 900
-    assert _pieces(encoder, text)[1][1][2].split("\n")[-1] or True
     raw, ids = text.encode(), encoder.encode(text)
-    found = chunking.cut_tokens(raw, ids, np.cumsum(encoder.token_bytes[ids]))
-    assert chunking.KINDS[found[0][2]] == "file"
+    ends = np.cumsum(encoder.token_bytes[ids])
+    found = chunking.cut_tokens(raw, ids, ends)
+    assert chunking.KINDS[found[0][2]] == "file" and raw[ends[found[0][1] - 1] :].startswith(b"diff --git")
+
+
+@pytest.mark.parametrize("text", [_words(5, 4000), "x" * 20_000, "x" * 3000 + " " + "y" * 9000, "a b " * 3000])
+def test_no_stronger_boundary_was_in_reach(encoder, text):
+    """A cut has the strength of the strongest boundary within the sizes; so a forced one had none at all."""
+    raw, ids = text.encode(), encoder.encode(text)
+    ends = np.cumsum(encoder.token_bytes[ids])
+    strength = np.concatenate([[0], chunking._strengths(raw, ends[:-1])])
+    cut, most = 0, chunking.LIMIT - chunking.OVERLAP - 3
+    for _, end, kind in chunking.cut_tokens(raw, ids, ends)[:-1]:
+        assert kind == strength[end] == strength[cut + chunking.LEAST : cut + most + 1].max()
+        cut = end
 
 
 def test_split_oversized(spark):

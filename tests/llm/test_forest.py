@@ -81,3 +81,45 @@ def test_empty_and_again(spark):
     again = forest.Forest(spark, made.at.path)
     more = forest.record_sets(spark.createDataFrame([(9, 1, payload([1, 2, 3]))], df.schema))
     assert [tuple(r) for r in again.add(more, "b1").collect()] == [(1, 9)]
+
+
+def test_a_range_that_is_hot_in_the_history(spark):
+    """A third of the history shares most of its records, not enough to be duplicates: its ranges are hot ones.  A
+    batch that comes later is searched there, and only row groups that hold its prefixes are read."""
+    rng = random.Random(3)
+    base = list(range(14))
+    sets, rows = {}, []
+    for k in range(1, 201):
+        s = base + rng.sample(range(1000, 10**6), 6) if k % 3 == 0 else rng.sample(range(10**6, 10**8), 20)
+        sets[k] = (0, frozenset(s))
+        rows.append((k, 0, payload(s)))
+    for k, copied in ((201, 3), (202, 4), (203, None)):
+        s = list(sets[copied][1])[:-1] + [7] if copied else base + [-1, -2, -3, -4, -5, -6]
+        sets[k] = (1, frozenset(s))
+        rows.append((k, 1, payload(s)))
+    got = {(r.append_a, r.append_b) for r in forest.found(spark.createDataFrame(rows, "append_id bigint, batch_no int, payload string")).collect()}
+    assert got == brute(sets) and len(got) >= 2
+
+
+def test_search_reads_what_it_needs(tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemark.llm.sorted_files import SortedFiles
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 5000, 20_000))
+    keys[7000:12_000] = keys[7000]  # one value over two files and many row groups
+    for k in range(4):
+        part = keys[k * 5000 : k * 5000 + 5000]
+        pq.write_table(pa.table({"key": part, "place": np.arange(k * 5000, k * 5000 + 5000)}), tmp_path / f"part-{k}.parquet", row_group_size=100)
+    files = SortedFiles([f"file:{tmp_path}/part-{k}.parquet" for k in range(4)], "key")
+    for low, high in (([0], [9999]), ([5, 40], [5, 41]), ([int(keys[7000])], [int(keys[7000])]), ([-5, 4999], [-1, 6000]), ([6000], [7000])):
+        low, high, got, groups = np.array(low), np.array(high), set(), 0
+        for part, table in files.pieces(low, high, ["key", "place"]):
+            groups += 1
+            key, place = table.column("key").to_numpy(), table.column("place").to_numpy()
+            for a, b in zip(low[part], high[part]):
+                got |= set(place[(key >= a) & (key <= b)].tolist())
+        wanted = {p for a, b in zip(low, high) for p in np.flatnonzero((keys >= a) & (keys <= b)).tolist()}
+        assert got == wanted and groups <= len(wanted) // 50 + 4

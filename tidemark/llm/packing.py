@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..shared import Scratch
 from .bpe import Vocabulary, task_number
+from .sorted_files import SortedFiles
 
 CAPACITY = 4096
 
@@ -135,7 +136,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     before = Window.partitionBy("n_tokens").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("n_tokens", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = items.join(offsets, ["n_tokens", "task"]).select(id_col, "piece_no", "token_start", "n_tokens", (F.col("nth") + F.col("offset")).alias("_rank"))
+    # tasks x lengths rows, which grow with the data: neither joined nor sent, each task looks up those that it meets
+    scratch.write_sorted(offsets, "offsets", ["task", "n_tokens"])
+    paths = scratch.files("offsets")
 
     # the plan has one row for each length of each combination: bounded by the capacity, not by the items
     table = np.array(rows or [(0, 0, 1, 0)], np.int64)
@@ -145,13 +148,29 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, firsts, many, starts = sent.value.T
+        files, held = SortedFiles(paths, "task"), {}
         for batch in batches:
-            length, rank = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)
+            length, task, nth = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+            rank = nth.copy()
+            for t in np.unique(task):
+                if t not in held:
+                    held = {t: _offsets_of(files, t, capacity)}  # rows come task by task, mostly
+                own = task == t
+                rank[own] += held[t][length[own]]
             k = _last_not_after(lengths, firsts, length.astype(np.int64), rank)
             bin_ = np.where(length > 0, starts[k] + (rank - firsts[k]) // many[k], rank % max(bins, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bin_.astype(np.int64))], names)
 
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece_no int, token_start bigint, n_tokens int, container_id bigint")
+    return items.mapInArrow(place, f"`{id_col}` {kind}, piece_no int, token_start bigint, n_tokens int, container_id bigint")
+
+
+def _offsets_of(files: SortedFiles, task: int, capacity: int) -> np.ndarray:
+    """How many items of each length the tasks before this one have."""
+    found, wanted = np.zeros(capacity + 1, np.int64), np.array([task], np.int64)
+    for _, table in files.pieces(wanted, wanted, ["task", "n_tokens", "offset"]):
+        tasks, lengths, offsets = (table.column(k).to_numpy() for k in range(3))
+        found[lengths[tasks == task]] = offsets[tasks == task]
+    return found
 
 
 def _last_not_after(lengths: np.ndarray, firsts: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
