@@ -74,6 +74,26 @@ def test_replaced_rows_keep_the_defaults(collection):
     assert collection.item("x").to_pandas()["b"].tolist() == [0.0, 0.0, 0.5]
 
 
+def test_a_segment_of_which_nothing_is_left(collection, spark):
+    collection.write("x", spark.createDataFrame([(k, 1) for k in range(5)], "k int, v int"), index=["k"])
+    for v in (2, 3):
+        collection.append("x", spark.createDataFrame([(k, v) for k in range(3, 9)], "k int, v int"))
+    assert collection.item("x").to_pandas()["v"].tolist() == [1, 1, 1, 3, 3, 3, 3, 3, 3]
+
+
+def test_only_files_that_hold_replaced_keys_are_rewritten(collection):
+    collection.write("x", frame(list(range(1000))), npartitions=10)
+    before = collection._manifest_of("x")["segments"]
+    collection.append("x", frame([-1, -2, -3], 998))
+    base, rewritten, new = collection._manifest_of("x")["segments"]
+    assert base["path"] == before[0]["path"] and len(base["without"]) == 1 and rewritten["rows"] < 200 and new["rows"] == 3
+    assert collection.item("x").to_pandas()["v"].tolist() == [*range(998), -1, -2, -3]
+    collection.create_snapshot("s")
+    collection.append("x", frame([7] * 2000))  # all files of the first segment, one by one or at once
+    assert collection.item("x").to_pandas()["v"].tolist() == [7] * 2000
+    assert collection.item("x", snapshot="s").to_pandas()["v"].sum() == sum(range(998)) - 6
+
+
 def test_many_segments_are_joined(collection, monkeypatch):
     monkeypatch.setattr("tidemark.store.catalog.MOST_SEGMENTS", 3)
     collection.write("x", frame([0]))

@@ -146,7 +146,7 @@ def _load_json(path: Path) -> dict | None:
         return None
 
 
-#: The hidden column that names a row's segment.
+#: The hidden column that names a row's segment and file, as "segment/file".
 SEGMENT = "__segment"
 
 
@@ -192,19 +192,29 @@ def _meet(a: dict, b: dict) -> bool:
     return low <= last and first <= high
 
 
+def _paths(segment: dict) -> list[str]:
+    """What a segment is read from: its folder, or of its files those whose rows weren't all written anew since
+    (``without``), or only some of them (``only``)."""
+    if "only" in segment:
+        return [f"{segment['path']}/{name}" for name in segment["only"]]
+    if not segment.get("without"):
+        return [segment["path"]]
+    return sorted(str(p) for p in Path(segment["path"]).glob("*.parquet") if p.name not in segment["without"])
+
+
 def _read_as(spark: SparkSession, manifest: dict, filters=None, columns: list[str] | None = None, source: bool = False) -> DataFrame:
     """All rows of a manifest's segments in its schema, with SEQ; segments that can't hold a wanted row are left out.
 
     Segments of one schema are one scan.  Filters are applied to the scans, so
     they and the column list reach Parquet.  With ``source``, the column
-    SEGMENT names each row's segment.
+    SEGMENT names each row's segment and file.
     """
     schema = T.StructType.fromJson(json.loads(manifest["schema"]))
     key = manifest["keys"][0] if manifest["keys"] else None
     groups: dict[str, list[str]] = {}
     for segment in manifest["segments"]:
         if key is None or may_match(filters, key, segment["low"], segment["high"]):
-            groups.setdefault(segment["schema"], []).append(segment["path"])
+            groups.setdefault(segment["schema"], []).extend(_paths(segment))
     wanted = compile_filters(filters, schema.names)
     names = schema.names if columns is None else columns
     parts = []
@@ -213,7 +223,7 @@ def _read_as(spark: SparkSession, manifest: dict, filters=None, columns: list[st
         part = spark.read.schema(T.StructType([*own.fields, T.StructField(SEQ, T.LongType())])).parquet(*paths)
         hidden = [SEQ, SEGMENT] if source else [SEQ]
         if source:
-            part = part.withColumn(SEGMENT, F.regexp_extract("_metadata.file_path", r"/seg/([0-9a-f]+)/[^/]*$", 1))
+            part = part.withColumn(SEGMENT, F.regexp_extract("_metadata.file_path", r"/seg/([0-9a-f]+/[^/]*)$", 1))
         part = cast_to(part, own, schema, extra=hidden, fill=manifest.get("fill", False))
         part = part if wanted is None else part.where(wanted)
         parts.append(part.select(*(F.col(f"`{c}`") for c in names), *hidden))
@@ -518,7 +528,11 @@ class Collection:
         except Exception as e:
             shutil.rmtree(path, ignore_errors=True)
             raise StorageError(f"Item '{item}' could not be written: {e}") from e
-        got = seen.get
+        try:
+            got = seen.get
+        except Exception:
+            # where a shuffle turns out to be empty, the rest of the plan is dropped, and what was observed with it
+            got = self.spark.read.schema(df.schema).parquet(str(path)).agg(*stats).first().asDict()
         if not got["rows"]:
             return {"path": str(path), "rows": 0, "schema": schema.json(), "low": None, "high": None, "top": base - 1}
         prune = bounds and not got["unkeyed"]
@@ -622,7 +636,7 @@ class Collection:
             segments = [(x, it.item) for it in own for x in it._manifest["segments"]]
             rows = _read_as(self.spark, dict(first._manifest, segments=[x for x, _ in segments]), normal_form(filters) or None, first._names(columns), source=True)
             names = self.spark.createDataFrame([(Path(x["path"]).name, name) for x, name in segments], f"`{SEGMENT}` string, item string")
-            part = rows.join(F.broadcast(names), SEGMENT).drop(SEQ, SEGMENT)
+            part = rows.withColumn(SEGMENT, F.substring_index(SEGMENT, "/", 1)).join(F.broadcast(names), SEGMENT).drop(SEQ, SEGMENT)
             merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
         return merged
 
@@ -634,7 +648,7 @@ class Collection:
         rows, ``keep_first`` leaves the new ones out, ``keep_all`` keeps all,
         ``error`` raises.  Under the first two also the new rows are reduced
         to one for each key.  Null keys equal each other; items without keys
-        keep all.  Only segments that hold such keys are written anew.
+        keep all.  Only files that hold such keys are written anew.
         """
         if threaded:
             _executor.submit(self.append, item, data, npartitions, epochdate, False, reload_items, duplicate_handling, validate_schema, index, validate).result()
@@ -684,8 +698,8 @@ class Collection:
                     return None
                 segment = left
             if duplicate_handling == "keep_last":
-                # no more names than there are segments
-                hit = {r[0] for r in held.select(SEGMENT).distinct().collect()}
+                # no more names than there are files
+                hit = [r[0] for r in held.select(SEGMENT).distinct().collect()]
                 segments = self._without(item, current, hit, new_keys)
         segments = self._joined(item, current, [*segments, segment])
         system = dict(old["system"], _failed_casts={c: old["system"].get("_failed_casts", {}).get(c, 0) + n for c, n in nulled.items()}) if nulled else old["system"]
@@ -707,14 +721,25 @@ class Collection:
         df = cast_to(made.df, new, target, extra=[SEQ], fill=evolution is not None)
         return target, Input(df, made.keys, made.tags, made.unnamed, made.bytes, made.rows), tags, nulled
 
-    def _without(self, item: str, manifest: dict, hit: set[str], new_keys: DataFrame) -> list[dict]:
-        """The segments without the rows of the new keys: those that have some are written anew as one, in one job."""
-        old = [s for s in manifest["segments"] if Path(s["path"]).name in hit]
-        if not old:
+    def _without(self, item: str, manifest: dict, hit: list[str], new_keys: DataFrame) -> list[dict]:
+        """The segments without the rows of the new keys: the files that have some (``segment/file``) are written
+        anew as one segment, in one job; the others stay as they are."""
+        if not hit:
             return list(manifest["segments"])
+        by_segment: dict[str, list[str]] = {}
+        for name in hit:
+            segment, _, file = name.partition("/")
+            by_segment.setdefault(segment, []).append(file)
+        old = [dict(s, only=by_segment[Path(s["path"]).name]) for s in manifest["segments"] if Path(s["path"]).name in by_segment]
+        size = sum(Path(p).stat().st_size for s in old for p in _paths(s))
         left = same(_read_as(self.spark, dict(manifest, segments=old)), new_keys, manifest["keys"], "left_anti")
-        made = self._segment(item, Input(left, manifest["keys"], {}, False, sum(layout.folder_bytes(s["path"]) for s in old)), None)
-        kept = [s for s in manifest["segments"] if s not in old]
+        made = self._segment(item, Input(left, manifest["keys"], {}, False, size), None)
+        kept = []
+        for s in manifest["segments"]:
+            if (files := by_segment.get(Path(s["path"]).name)) is not None:
+                s = dict(s, without=sorted({*s.get("without", ()), *files}))
+            if not s.get("without") or _paths(s):
+                kept.append(s)
         return [*kept, made] if made["rows"] else kept
 
     def _joined(self, item: str, manifest: dict, segments: list[dict]) -> list[dict]:
