@@ -321,6 +321,24 @@ def test_consistent_table(spark):
     assert table.where("item_name = 'a' and schema_version = 1").count() == 5
 
 
+def test_renamed_columns_are_one(spark):
+    """a becomes b, then c, which is there still; an unrelated new name isn't taken for it."""
+    day = lambda k, *v: f"2024-01-0{k}," + ",".join(map(str, v))
+    rows = [
+        (1, "c", "r", 1, None, ["a", "k"], ["int64", "int64"], "object", "\n".join([day(1, 1, 0), day(2, 2, 0), day(3, 3, 0)]), ""),
+        (2, "c", "r", 2, None, ["b", "k"], ["int64", "int64"], "object", "\n".join([day(2, 2, 0), day(3, 3, 0), day(4, 4, 0)]), ""),
+        (3, "c", "r", 3, None, ["k", "b"], ["int64", "int64"], "object", "\n".join([day(4, 0, 4), day(5, 0, 5)]), ""),
+        (4, "c", "r", 5, None, ["k", "c", "z"], ["int64", "float64", "object"], "object", "\n".join([day(4, 0, "4.0", "x"), day(5, 0, "5.0", "y"), day(6, 0, "6.5", "z")]), ""),
+    ]
+    df = spark.createDataFrame(rows, SCHEMAS)
+    table = drift.consistent_table(df)[0]
+    assert {(r.schema_version, r.line_no, r.floats["c"]) for r in table.collect()} >= {(1, 1, 1.0), (1, 3, 3.0), (2, 3, 4.0), (3, 2, 5.0), (5, 3, 6.5)}
+    assert all(set(r.ints) == {"k"} and set(r.floats) == {"c"} for r in table.collect())
+    one = drift.item_table(df, "c", "r")
+    assert dict(one.dtypes) == {"schema_version": "int", "line_no": "int", "idx_us": "bigint", "c": "double", "k": "bigint", "z": "string"}
+    assert one.where("z is null").count() == 8 and one.agg({"c": "sum"}).first()[0] == 1 + 2 + 3 + 2 + 3 + 4 + 4 + 5 + 4 + 5 + 6.5
+
+
 # -- snapshots
 ROWS = "row_id bigint, collection_name string, snapshot_name string, item_name string, category string, idx timestamp_ntz, value1 double, value2 double, remark string, old_value1 string"
 

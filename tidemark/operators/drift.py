@@ -10,7 +10,7 @@ place, and is not lost: its text stays beside the null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.neighbours import with_next
@@ -154,6 +154,31 @@ def _kind(dtype: Column) -> Column:
     return F.coalesce(found, F.lit("text"))
 
 
+def _final_names(known: DataFrame, renames: DataFrame, scratch: Scratch) -> DataFrame:
+    """``schema_file_id, path, final``: the name that each column of each file has in the end, along its renames.
+
+    A name is followed to its next rename at its own or a later version, from
+    there to the next one, and so on; every round doubles the steps, so there
+    are as many as the logarithm of the longest chain.  Of several agreements
+    of one name only one counts, the first by name.
+    """
+    one = renames.groupBy(*VERSION, "old_name").agg(F.min("new_name").alias("new_name")).groupBy(*VERSION, "new_name").agg(F.min("old_name").alias("old_name"))
+    later = with_next(known.select(*VERSION), ITEM, "schema_version", [], WIDTH).select(*VERSION, F.col("next_schema_version").alias("_then"))
+    leaves = one.join(later, VERSION).select(*VERSION, F.col("old_name").alias("path"), F.struct("_then", "new_name").alias("_leave"))
+    names = known.select(*VERSION, "schema_file_id", F.explode(F.array_distinct("col_names")).alias("path")).where("path is not null")
+    marked = names.join(leaves, [*VERSION, "path"], "left")
+    onward = Window.partitionBy(*ITEM, "path").orderBy("schema_version").rowsBetween(0, Window.unboundedFollowing)
+    step = marked.withColumn("_leave", F.first("_leave", ignorenulls=True).over(onward))
+    step = scratch.write(step.select(*VERSION, "schema_file_id", "path", F.col("_leave._then").alias("_then"), F.coalesce("_leave.new_name", "path").alias("final")), "names-0")
+    turn = 0
+    while not step.where("_then is not null").isEmpty():
+        turn += 1
+        target = step.select(*ITEM, F.col("schema_version").alias("_then"), F.col("path").alias("final"), F.struct("_then", "final").alias("_on"))
+        moved = step.join(target, [*ITEM, "_then", "final"], "left")
+        step = scratch.write(moved.select(*VERSION, "schema_file_id", "path", F.col("_on._then").alias("_then"), F.coalesce("_on.final", "final").alias("final")), f"names-{turn}")
+    return step.select("schema_file_id", "path", "final")
+
+
 def consistent_table(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, failures, statistics) of all files, each version once.
 
@@ -163,15 +188,27 @@ def consistent_table(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     that its type belongs to.  A column's type is that of the item's latest
     version that has it; ints are widened to floats where any file holds
     fractions, and so on to text where most values can't be read.  A column
-    that a file lacks is absent from its rows.  ``failures`` lists each value
+    that a file lacks is absent from its rows; one that was renamed has the
+    name that it has in the end, in the rows of all files (if a file has that
+    name too, the earlier column there wins).  ``failures`` lists each value
     that its column's type can't take, with place and raw text; in the table
     it is null.
     """
     scratch = Scratch(files.sparkSession, "drift")
     known = scratch.write(versions(files), "versions")
-    rows = path_values(files, known.select("schema_file_id", F.col("schema_version"), *ITEM))
+    listed = F.col("col_names")
+    pairs = scratch.write(_pairs(known).withColumns({"gone": F.array_except(listed, "next_col_names"), "fresh": F.array_except("next_col_names", listed)}), "pairs")
+    final = _final_names(known, _renames(files, pairs, scratch), scratch)
+    # no more entries than a file has columns
+    names = final.where("final != path").groupBy("schema_file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "final"))).alias("_names"))
+    wanted = known.select("schema_file_id", "schema_version", *ITEM).join(names, "schema_file_id", "left")
+    renamed = F.transform(F.map_entries("values"), lambda e: F.struct(F.coalesce(F.element_at("_names", e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
+    # written, so that the payloads are read once for the statistics, the table and the failures
+    rows = path_values(files, wanted).withColumn("values", F.map_from_entries(_first_of_each(renamed))).drop("_names")
+    rows = scratch.write(rows, "rows")
     statistics = scratch.write(path_types(rows), "path_types")
     declared = known.select(*ITEM, "schema_version", "schema_file_id", F.explode(F.arrays_zip("col_names", "dtypes")).alias("_c")).select(*ITEM, "schema_version", "schema_file_id", F.col("_c.col_names").alias("path"), _kind(F.col("_c.dtypes")).alias("kind"))
+    declared = declared.join(final, ["schema_file_id", "path"]).drop("path").withColumnRenamed("final", "path")
     found = declared.join(statistics, ["schema_file_id", "path"], "left")
     total = {k: F.sum(F.coalesce(f"n_{k}", F.lit(0))) for k in ("int", "float", "bool", "text")}
     latest = found.groupBy(*ITEM, "path").agg(F.max_by("kind", "schema_version").alias("kind"), *(v.alias(f"n_{k}") for k, v in total.items()))
@@ -195,3 +232,15 @@ def consistent_table(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     fits = F.coalesce(*(F.when(F.col("target") == kind, cast(F.col("_c.value")).isNotNull()) for kind, cast in casts.values()))
     failures = cells.where(~fits).select(*ITEM, "schema_version", "schema_file_id", "line_no", F.col("_c.key").alias("column_name"), "target", F.col("_c.value").alias("raw_value"))
     return table, failures, statistics
+
+
+def item_table(files: DataFrame, collection_name: str, item_name: str) -> DataFrame:
+    """One item's consistent table with a typed column for each of its fields, in the order of their names, after
+    ``schema_version, line_no, idx_us``.  A field that's named like one of these gets an underscore before it."""
+    own = files.where((F.col("collection_name") == collection_name) & (F.col("item_name") == item_name))
+    table = consistent_table(own)[0]
+    places = ["schema_version", "line_no", "idx_us"]
+    kinds = ("ints", "floats", "bools", "texts")
+    keys = table.agg(*(F.array_distinct(F.flatten(F.collect_set(F.map_keys(k)))).alias(k) for k in kinds)).first()
+    fields = sorted((name, k) for k in kinds for name in keys[k] or [])
+    return table.select(*places, *(F.element_at(k, F.lit(name)).alias(f"_{name}" if name.lower() in places else name) for name, k in fields))
