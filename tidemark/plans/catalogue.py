@@ -17,6 +17,7 @@ from ..functions.joins import same
 from ..functions.keys import align_timezones, deduplicate
 from ..shared import shared_dir
 from ..store import catalog, errors, evolution, layout, memory
+from ..store.frames import Frames
 from ..store.types import SEQ
 from ..store.validation import DataValidator, NoNullRule, RangeRule, SortedKeyRule, UniqueRule, create_financial_validator
 from . import problems
@@ -227,10 +228,10 @@ def tz_to_utc(spark, d):
     return c.item("item").data.select("event_id", (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(us / 1_000_000).cast("decimal(18,6)"))).alias("utc"))
 
 
-def _typed(spark, d) -> catalog.Item:
-    """The events as a pandas frame with types that Spark lacks, written, appended to, and read with their tags."""
-    t = _table(spark, d, "events").select("event_id", "ts", "event_type", "value", "props").toPandas().set_index("event_id")
-    frame = pd.DataFrame({
+def _rich(t: pd.DataFrame) -> pd.DataFrame:
+    """Events with types that Spark lacks."""
+    t = t.set_index("event_id")
+    return pd.DataFrame({
         "month": t["ts"].dt.to_period("M"),
         "lasted": pd.to_timedelta(t["value"].round(2) * 1000, unit="ms").dt.round("ms"),
         "kind": pd.Categorical(t["event_type"]),
@@ -238,9 +239,15 @@ def _typed(spark, d) -> catalog.Item:
         "local": t["ts"].dt.tz_localize("UTC").dt.tz_convert("US/Eastern"),
         "tags": [{"props": x} for x in t["props"]],
     }, index=t.index)
-    c, half = _collection(spark), len(frame) // 2
-    c.write("item", frame[:half].assign(kind=frame[:half]["kind"].cat.remove_unused_categories()))
-    c.append("item", frame[half:])
+
+
+def _typed(spark, d) -> catalog.Item:
+    """The events as pandas frames with types that Spark lacks, made in tasks, written, appended to, and read with their tags."""
+    t = _table(spark, d, "events").select("event_id", "ts", "event_type", "value", "props")
+    key, middle = F.col("event_id"), F.lit(t.agg(F.percentile_approx("event_id", 0.5)).first()[0])
+    c = _collection(spark)
+    c.write("item", Frames(t.where(key < middle), _rich))
+    c.append("item", Frames(t.where((key >= middle) | key.isNull()), _rich))
     return c.item("item")
 
 

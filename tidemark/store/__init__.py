@@ -36,6 +36,7 @@ from .errors import (
     ValidationError,
 )
 from .evolution import EvolutionStrategy, Schema, SchemaChange, SchemaEvolution, add_calculated_column, convert_index_to_datetime, rename_columns
+from .frames import Frames
 from .layout import calculate_optimal_partitions, optimize_time_series_partitions, rebalance_partitions
 from .log import get_logger, setup_logging
 from .memory import MemoryMonitor, check_memory_usage, estimate_dataframe_memory, get_memory_info, memory_efficient_read, optimize_dataframe_memory, read_in_chunks

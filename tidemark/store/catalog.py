@@ -44,9 +44,10 @@ from .errors import (
 )
 from .evolution import EvolutionStrategy, Schema, SchemaEvolution, cast_to
 from .filters import compile_filters, may_match, normal_form
+from .frames import Frames, mapped
 from .locks import ItemLock
 from .merging import agreed_types, merged_tags
-from .types import SEQ, check_columns, decode_frame, encode_frame
+from .types import SEQ, check_columns, decode_frame, encode_frame, epoch_numbers
 
 MANIFEST, SNAPSHOTS, RECORDS, LOCKS = "manifest.json", "_snapshots", "_commits", "_locks"
 STRATEGIES = ("keep_last", "keep_first", "keep_all", "error")
@@ -165,6 +166,8 @@ class Input:
     bytes: int
     rows: int | None = None
     tagged: bool = False
+    #: A folder with the frame's rows, which goes once they're written.
+    aside: Path | None = None
 
 
 def _bounds(key, kind: T.DataType) -> list | None:
@@ -285,9 +288,17 @@ class Item:
     def to_pandas(self, columns: list[str] | None = None, filters=None, restore_tz: bool = False, parse_dates: bool = True) -> pd.DataFrame:
         """All rows in order, with the types that were written; ``parse_dates=False`` leaves epoch keys as numbers."""
         frame = self._to_pandas(self.ordered(columns=columns, filters=filters), restore_tz)
-        if not parse_dates and len(self.keys) == 1 and isinstance(frame.index, pd.DatetimeIndex):
-            frame.index = pd.Index(frame.index.astype("datetime64[ns]" if frame.index.tz is None else "datetime64[ns, UTC]").astype("int64"), name=frame.index.name)
-        return frame
+        return frame if parse_dates else epoch_numbers(frame)
+
+    def map_pandas(self, make, schema: str | T.StructType, columns: list[str] | None = None, filters=None) -> DataFrame:
+        """A Spark frame of what ``make`` gives for each batch of the rows, in tasks: none come to the driver.
+
+        ``make`` is given a function with the options ``restore_tz`` and
+        ``parse_dates`` of :meth:`to_pandas`, which gives the batch's rows
+        with the types that were written, and returns a pandas frame with the
+        columns of ``schema``.  Batches come in no order.
+        """
+        return mapped(self._rows(columns, filters).drop(SEQ), self._manifest, make, schema)
 
     def head(self, n: int = 5) -> pd.DataFrame:
         return self._to_pandas(self.ordered().limit(n))
@@ -470,8 +481,15 @@ class Collection:
         return len(gone)
 
     # -- input
-    def _input(self, data, index: list[str] | None, epochdate: bool) -> Input:
+    def _input(self, item: str, data, index: list[str] | None, epochdate: bool) -> Input:
         spark = self.spark
+        if isinstance(data, Frames):
+            df, keys, tags, unnamed = (data if not index else Frames(data.df, _indexed(data.make, index))).encoded(epochdate)
+            # encoded once, though ranges are sampled first; if the process dies, it's a segment that no manifest names
+            aside = self._path(item) / "seg" / uuid.uuid4().hex
+            df.withColumn(SEQ, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(str(aside))
+            held = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(str(aside))
+            return Input(held, keys, tags, unnamed, layout.folder_bytes(str(aside)), None, True, aside)
         if isinstance(data, Item):
             keys = index or data.keys
             df = data._rows()
@@ -550,13 +568,15 @@ class Collection:
         return self._validator
 
     def _built(self, item: str, data, metadata: dict | None, npartitions: int | None, epochdate: bool, index, validate: bool, old: dict | None = None) -> dict:
-        made = self._input(data, index, epochdate)
+        made = self._input(item, data, index, epochdate)
         if validate:
             self._validate(made)
         strategy = None
         if npartitions is None:
             npartitions, strategy = layout.choose(made, get_partition_size())
         segment = self._segment(item, made, npartitions)
+        if made.aside:
+            shutil.rmtree(made.aside, ignore_errors=True)
         schema = T.StructType([f for f in made.df.schema.fields if f.name != SEQ])
         return {
             "token": (old or {}).get("token"),
@@ -575,8 +595,9 @@ class Collection:
     def write(self, item: str, data, metadata: dict | None = None, npartitions: int | None = None, overwrite: bool = False, epochdate: bool = False, reload_items: bool = False, index=None, validate: bool = True) -> None:
         """Create an item, or with ``overwrite`` replace its rows and metadata.
 
-        ``data``: a pandas frame or series (its index becomes the keys), a
-        Spark frame or Arrow table (``index`` names the keys) or an Item.  All
+        ``data``: a pandas frame or series (its index becomes the keys), the
+        Frames that tasks make (so do theirs), a Spark frame or Arrow table
+        (``index`` names the keys) or an Item.  All
         rows are kept, also those of one key.
         """
         with self._lock(item):
@@ -662,7 +683,7 @@ class Collection:
         if duplicate_handling not in STRATEGIES:
             raise ValueError(f"duplicate_handling must be one of {STRATEGIES}")
         epochdate = epochdate or any((old["tags"].get(k) or {}).get("kind") == "instant_ns" for k in old["keys"])
-        made = self._input(data, index or (old["keys"] if isinstance(data, (DataFrame, pa.Table)) else None), epochdate)
+        made = self._input(item, data, index or (old["keys"] if isinstance(data, (DataFrame, pa.Table)) else None), epochdate)
         if made.rows == 0:
             return None
         if made.keys != old["keys"]:
@@ -679,6 +700,8 @@ class Collection:
         current = dict(old, schema=schema.json(), fill=fill)
         # the new rows are computed once, here; what they meet is looked for with what has been written
         segment = self._segment(item, made, npartitions, base)
+        if made.aside:
+            shutil.rmtree(made.aside, ignore_errors=True)
         if not segment["rows"]:
             shutil.rmtree(segment["path"], ignore_errors=True)
             return None
@@ -719,7 +742,7 @@ class Collection:
         target, nulled = agreed_types(have, new, _read_as(self.spark, old), made.df, evolution)
         tags = merged_tags(old["tags"], made.tags, have, new, target, made.tagged)
         df = cast_to(made.df, new, target, extra=[SEQ], fill=evolution is not None)
-        return target, Input(df, made.keys, made.tags, made.unnamed, made.bytes, made.rows), tags, nulled
+        return target, Input(df, made.keys, made.tags, made.unnamed, made.bytes, made.rows, made.tagged, made.aside), tags, nulled
 
     def _without(self, item: str, manifest: dict, hit: list[str], new_keys: DataFrame) -> list[dict]:
         """The segments without the rows of the new keys: the files that have some (``segment/file``) are written
@@ -838,6 +861,10 @@ class Collection:
             self._publish({item: dict(old, version=old["version"] + 1, schema=segment["schema"], schema_version=to_version, keys=keys, tags=made.tags, segments=[segment], updated=_now())})
 
 
+def _indexed(make, index):
+    return lambda frame: make(frame).set_index(index)
+
+
 def _one_per_key(df: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """The first or last row of each key, in the order of SEQ; partly done before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

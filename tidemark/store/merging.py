@@ -104,13 +104,14 @@ def merged_tags(old: dict, new: dict, have: T.StructType, made: T.StructType, ta
         elif not tagged and (a or {}).get("kind") != "category":
             tag = a
         else:
-            tag = _merged(name, a, b, have[name].dataType == f.dataType)
+            tag = merged_tag(name, a, b, have[name].dataType == f.dataType)
         if tag:
             tags[name] = tag
     return tags
 
 
-def _merged(name: str, a: dict | None, b: dict | None, kept: bool) -> dict | None:
+def merged_tag(name: str, a: dict | None, b: dict | None, kept: bool) -> dict | None:
+    """The tag of a column that has two; ``kept``: it keeps the type that the first one belongs to."""
     kinds = {(a or {}).get("kind"), (b or {}).get("kind")}
     if kinds == {"category"}:
         unknown = [x for x in b["categories"] if x not in a["categories"]]
