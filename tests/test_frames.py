@@ -51,6 +51,10 @@ def test_category_counts(spark, driver_rows):
     check(spark, "category_counts", driver_rows)
 
 
+def test_interval_struct(spark, driver_rows):
+    check(spark, "interval_struct", driver_rows)
+
+
 def make(t):
     """The frames' columns differ between batches in what they hold: only one has nanoseconds, some have no object."""
     return pd.DataFrame({
