@@ -55,6 +55,10 @@ def test_interval_struct(spark, driver_rows):
     check(spark, "interval_struct", driver_rows)
 
 
+def test_typed_columns(spark, driver_rows):
+    check(spark, "typed_columns", driver_rows)
+
+
 def make(t):
     """The frames' columns differ between batches in what they hold: only one has nanoseconds, some have no object."""
     return pd.DataFrame({

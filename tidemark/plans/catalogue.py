@@ -244,22 +244,26 @@ def _rich(t: pd.DataFrame) -> pd.DataFrame:
 def _typed(spark, d) -> catalog.Item:
     """The events as pandas frames with types that Spark lacks, made in tasks, written, appended to, and read with their tags."""
     t = _table(spark, d, "events").select("event_id", "ts", "event_type", "value", "props")
-    key, middle = F.col("event_id"), F.lit(t.agg(F.percentile_approx("event_id", 0.5)).first()[0])
+    low, high = t.agg(F.min("event_id"), F.max("event_id")).first()
+    key, middle = F.col("event_id"), F.lit(None if low is None else (low + high + 1) // 2)
     c = _collection(spark)
     c.write("item", Frames(t.where(key < middle), _rich))
     c.append("item", Frames(t.where((key >= middle) | key.isNull()), _rich))
     return c.item("item")
 
 
-def typed_columns(spark, d):
-    """Periods, durations, intervals, zoned instants and nested objects, as they come out again."""
-    got = _typed(spark, d).to_pandas()
+def _flat(read: Callable[..., pd.DataFrame]) -> pd.DataFrame:
+    got = read()
     kinds = [isinstance(got["month"].dtype, pd.PeriodDtype), got["lasted"].dtype.kind == "m", isinstance(got["kind"].dtype, pd.CategoricalDtype), isinstance(got["bin"].dtype, pd.IntervalDtype), str(got["local"].dt.tz) == "US/Eastern"]
-    flat = pd.DataFrame({
-        "event_id": got.index, "month": got["month"].astype(str), "ms": (got["lasted"] / pd.Timedelta("1ms")).round().astype("int64"), "kind": got["kind"].astype(str),
-        "lo": [x.left for x in got["bin"]], "hi": [x.right for x in got["bin"]], "hour": got["local"].dt.hour.astype("int64"), "props": [x["props"] for x in got["tags"]], "restored": sum(map(bool, kinds)),
+    return pd.DataFrame({
+        "event_id": got.index, "month": got["month"].dt.strftime("%Y-%m").to_numpy(), "ms": (got["lasted"] / pd.Timedelta("1ms")).round().astype("int64").to_numpy(), "kind": got["kind"].astype(object).to_numpy(),
+        "lo": got["bin"].array.left, "hi": got["bin"].array.right, "hour": got["local"].dt.hour.astype("int64").to_numpy(), "props": [x["props"] for x in got["tags"]], "restored": sum(map(bool, kinds)),
     })
-    return spark.createDataFrame(flat, "event_id bigint, month string, ms bigint, kind string, lo bigint, hi bigint, hour bigint, props string, restored bigint")
+
+
+def typed_columns(spark, d):
+    """Periods, durations, intervals, zoned instants and nested objects, as they come out again."""
+    return _typed(spark, d).map_pandas(_flat, "event_id bigint, month string, ms bigint, kind string, lo bigint, hi bigint, hour bigint, props string, restored bigint")
 
 
 def append_category(spark, d):
