@@ -59,6 +59,10 @@ def test_typed_columns(spark, driver_rows):
     check(spark, "typed_columns", driver_rows)
 
 
+def test_append_category(spark, driver_rows):
+    check(spark, "append_category", driver_rows)
+
+
 def make(t):
     """The frames' columns differ between batches in what they hold: only one has nanoseconds, some have no object."""
     return pd.DataFrame({

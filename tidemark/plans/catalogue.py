@@ -266,10 +266,16 @@ def typed_columns(spark, d):
     return _typed(spark, d).map_pandas(_flat, "event_id bigint, month string, ms bigint, kind string, lo bigint, hi bigint, hour bigint, props string, restored bigint")
 
 
+def _counted(read: Callable[..., pd.DataFrame]) -> pd.DataFrame:
+    kinds = read()["kind"]
+    counts = kinds.astype(object).value_counts(dropna=False)
+    return pd.DataFrame({"kind": counts.index, "n": counts.to_numpy(), "categories": len(kinds.cat.categories)})
+
+
 def append_category(spark, d):
     """Categories that only come with the second append are united with the first ones'."""
-    counts = _typed(spark, d).to_pandas()["kind"].value_counts()
-    return spark.createDataFrame([(str(k), int(n), len(counts.index.categories)) for k, n in counts.items()], "kind string, n bigint, categories bigint")
+    counts = _typed(spark, d).map_pandas(_counted, "kind string, n bigint, categories bigint", columns=["kind"])
+    return counts.groupBy("kind").agg(F.sum("n").alias("n"), F.max("categories").alias("categories"))
 
 
 def epoch_roundtrip(spark, d):
