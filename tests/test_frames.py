@@ -63,6 +63,10 @@ def test_append_category(spark, driver_rows):
     check(spark, "append_category", driver_rows)
 
 
+def test_epoch_roundtrip(spark, driver_rows):
+    check(spark, "epoch_roundtrip", driver_rows)
+
+
 def make(t):
     """The frames' columns differ between batches in what they hold: only one has nanoseconds, some have no object."""
     return pd.DataFrame({

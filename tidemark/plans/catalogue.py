@@ -278,15 +278,20 @@ def append_category(spark, d):
     return counts.groupBy("kind").agg(F.sum("n").alias("n"), F.max("categories").alias("categories"))
 
 
+def _by_ts(t: pd.DataFrame) -> pd.DataFrame:
+    return t.set_index("ts")
+
+
+def _both_ways(read: Callable[..., pd.DataFrame]) -> pd.DataFrame:
+    numbers, instants = read(parse_dates=False), read()
+    return pd.DataFrame({"event_id": numbers["event_id"].to_numpy(), "us": pd.Series(numbers.index.to_numpy() // 1000).where(instants.index.notna()), "ts": instants.index.to_numpy()})
+
+
 def epoch_roundtrip(spark, d):
     """Keys kept as epoch nanoseconds, which come out as instants, or as numbers if asked for."""
-    t = _table(spark, d, "events").select("event_id", "ts").toPandas().set_index("ts")
     c = _collection(spark)
-    c.write("item", t, epochdate=True)
-    it = c.item("item")
-    numbers, instants = it.to_pandas(parse_dates=False), it.to_pandas()
-    rows = pd.DataFrame({"event_id": numbers["event_id"].to_numpy(), "us": numbers.index.to_numpy() // 1000, "ts": instants.index.to_numpy()})
-    return spark.createDataFrame(rows, "event_id bigint, us bigint, ts timestamp_ntz")
+    c.write("item", Frames(_table(spark, d, "events").select("event_id", "ts"), _by_ts), epochdate=True)
+    return c.item("item").map_pandas(_both_ways, "event_id bigint, us bigint, ts timestamp_ntz")
 
 
 def json_extract(spark, d):
