@@ -255,8 +255,9 @@ def _typed(spark, d) -> catalog.Item:
 def _flat(read: Callable[..., pd.DataFrame]) -> pd.DataFrame:
     got = read()
     kinds = [isinstance(got["month"].dtype, pd.PeriodDtype), got["lasted"].dtype.kind == "m", isinstance(got["kind"].dtype, pd.CategoricalDtype), isinstance(got["bin"].dtype, pd.IntervalDtype), str(got["local"].dt.tz) == "US/Eastern"]
+    codes, months = pd.factorize(got["month"])
     return pd.DataFrame({
-        "event_id": got.index, "month": got["month"].dt.strftime("%Y-%m").to_numpy(), "ms": (got["lasted"] / pd.Timedelta("1ms")).round().astype("int64").to_numpy(), "kind": got["kind"].astype(object).to_numpy(),
+        "event_id": got.index, "month": pd.Series(months.strftime("%Y-%m"), dtype=object).reindex(codes).to_numpy(), "ms": (got["lasted"] / pd.Timedelta("1ms")).round().astype("int64").to_numpy(), "kind": got["kind"].astype(object).to_numpy(),
         "lo": got["bin"].array.left, "hi": got["bin"].array.right, "hour": got["local"].dt.hour.astype("int64").to_numpy(), "props": [x["props"] for x in got["tags"]], "restored": sum(map(bool, kinds)),
     })
 

@@ -484,11 +484,14 @@ class Collection:
     def _input(self, item: str, data, index: list[str] | None, epochdate: bool) -> Input:
         spark = self.spark
         if isinstance(data, Frames):
-            df, keys, tags, unnamed = (data if not index else Frames(data.df, _indexed(data.make, index))).encoded(epochdate)
             # encoded once, though ranges are sampled first; if the process dies, it's a segment that no manifest names
             aside = self._path(item) / "seg" / uuid.uuid4().hex
-            df.withColumn(SEQ, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(str(aside))
-            held = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(SEQ, T.LongType())])).parquet(str(aside))
+            try:
+                schema, keys, tags, unnamed = (data if not index else Frames(data.df, _indexed(data.make, index))).written(str(aside), epochdate)
+            except Exception:
+                shutil.rmtree(aside, ignore_errors=True)
+                raise
+            held = spark.read.schema(T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())])).parquet(str(aside))
             return Input(held, keys, tags, unnamed, layout.folder_bytes(str(aside)), None, True, aside)
         if isinstance(data, Item):
             keys = index or data.keys

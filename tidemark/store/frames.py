@@ -2,9 +2,10 @@
 
 A pandas frame of the driver can be no larger than the driver.  :class:`Frames`
 stands for the frames that a function makes of a Spark table's batches, and is
-written and appended as if they were one frame.  Their types are found in a
-first pass, which sends one small description for each task; then they're
-encoded, each batch into the types agreed on.
+written and appended as if they were one frame.  The types of the first rows
+are taken for those of all, and each task tells what types its batches have.
+Only where these turn out to be others are all encoded again, in the types
+that they agree on.
 """
 
 from __future__ import annotations
@@ -17,51 +18,69 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from .errors import ValidationError
 from .merging import common_type, merged_tag
-from .types import Encoded, decode_frame, encode_frame, epoch_numbers
+from .types import SEQ, Encoded, decode_frame, encode_frame, epoch_numbers
 
 #: Rows and bytes of the batches that make one pandas frame in a task.
 BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 25
+#: Rows whose types are tried first.
+SAMPLE = 20
+#: The hidden column for what describes a batch.
+FOUND = "__found"
 
 
 @dataclass
 class Frames:
     """The pandas frames that ``make`` gives for the batches of a Spark frame, as one frame; its index is the keys'.
 
-    ``make`` runs in tasks, twice for each batch, and must see rows only, not where batches end.
+    ``make`` runs in tasks, once or twice for each batch, and must see rows only, not where batches end.
     """
 
     df: DataFrame
     make: Callable[[pd.DataFrame], pd.DataFrame]
 
-    def encoded(self, epochdate: bool = False) -> tuple[DataFrame, list[str], dict, bool]:
-        """The rows in Spark's types (lazily), and the keys, tags and whether the key has no name, of all of them."""
-        make = self.make
-
-        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = None
-            for table in gathered(batches):
-                found = _united(found, _description(encode_frame(make(_pandas(table)), epochdate, values=False)))
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(found)], pa.string())], ["found"])
-
-        found = None
-        for row in sorted(self.df.mapInArrow(describe, "found string").collect()):
-            found = _united(found, json.loads(row.found))
-        if found is None:
-            found = _description(encode_frame(make(_pandas(self.df.limit(0).toArrow())), epochdate))
-        schema = T.StructType([T.StructField(name, T._parse_datatype_json_value(c["type"]), True) for name, c in found["columns"].items()])
-        tags = {name: c["tag"] for name, c in found["columns"].items() if c["tag"]}
+    def written(self, path: str, epochdate: bool = False) -> tuple[T.StructType, list[str], dict, bool]:
+        """Write the rows in Spark's types, with SEQ; their schema, the keys, tags and whether the key has no name."""
+        guess = _description(encode_frame(self.make(_pandas(self.df.limit(SAMPLE).toArrow())), epochdate))
+        found = self._write(path, epochdate, guess) or guess
+        if _types(found) != _types(guess):
+            target, found = found, self._write(path, epochdate, found)
+            if found is None or _types(found) != _types(target):
+                raise ValidationError("the frames of the batches aren't the same when they're made again")
+        return _schema(found), found["keys"], _tags(found), found["unnamed"]
+
+    def _write(self, path: str, epochdate: bool, target: dict) -> dict | None:
+        """Write the rows in the target's types, and tell what describes all of them; None if there are none.  A batch
+        that needs other types isn't written, since then all must be written again."""
+        make, schema, tags = self.make, _schema(target), _tags(target)
+        arrow = to_arrow_schema(schema).append(pa.field(FOUND, pa.string()))
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told = None
             for table in gathered(batches):
-                yield from _fitted(encode_frame(make(_pandas(table)), epochdate), schema, tags).to_batches()
-
-        return self.df.mapInArrow(encode, schema), found["keys"], tags, found["unnamed"]
+                made = encode_frame(make(_pandas(table)), epochdate)
+                if not made.table.num_rows:
+                    continue
+                own = _description(made)
+                fits, more = _types(_united(target, own)) == _types(target), _united(told, own)
+                rows = _fitted(made, schema, tags) if fits else pa.table([pa.nulls(1, f.type) for f in arrow][:-1], schema=to_arrow_schema(schema))
+                # only the first row of a batch tells, and only what its task hasn't told before
+                text, told = json.dumps(own) if more != told else None, more
+                yield from rows.append_column(arrow[-1], pa.array([text] + [None] * (rows.num_rows - 1), pa.string())).to_batches()
+
+        spark = self.df.sparkSession
+        rows = self.df.mapInArrow(encode, T.StructType([*schema.fields, T.StructField(FOUND, T.StringType())]))
+        rows.withColumn(SEQ, F.monotonically_increasing_id()).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        found = None
+        texts = spark.read.schema(f"`{FOUND}` string").parquet(path).where(F.col(f"`{FOUND}`").isNotNull()).distinct().collect()
+        for row in sorted(texts):
+            found = _united(found, json.loads(row[0]))
+        return found
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -92,6 +111,18 @@ def _description(made: Encoded) -> dict:
     return {"keys": made.keys, "unnamed": made.unnamed, "columns": columns}
 
 
+def _types(found: dict) -> dict:
+    return {name: c["type"] for name, c in found["columns"].items()}
+
+
+def _schema(found: dict) -> T.StructType:
+    return T.StructType([T.StructField(name, T._parse_datatype_json_value(c["type"]), True) for name, c in found["columns"].items()])
+
+
+def _tags(found: dict) -> dict:
+    return {name: c["tag"] for name, c in found["columns"].items() if c["tag"]}
+
+
 def _united(a: dict | None, b: dict) -> dict:
     """What describes two frames that are parts of one."""
     if a is None:
